@@ -7,10 +7,24 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamina.llm import quality, secrets, shards, urls
+from lamina.llm import packing, quality, secrets, shards, tokens, urls
 from lamina.llm.common import table
 
 
+def tokenizer_file(name: str) -> str:
+    """Place of a public tokenizer's file; the same on every machine that has the package."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents")
+    return tokens.count_documents(docs, tokenizer_file("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.findings(table(spark, sf_dir, "documents"))
     n = lambda k: F.size(F.filter("base", lambda s: s["rank"] == k)).cast("long").alias(f"n_{secrets.KINDS[k]}")
@@ -31,8 +45,12 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op2_secret_scan, op3_url_filter, op6_quality_rules, op8_sharding]
+    found = [op1_token_counts, op2_secret_scan, op3_url_filter, op6_quality_rules, op8_sharding, op9_best_fit_packing]
     return {f.__name__: f for f in found}
 
 
