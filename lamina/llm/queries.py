@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamina.llm import jaccard, packing, quality, secrets, shards, tokens, urls
+from lamina.llm import jaccard, lm, packing, quality, secrets, shards, tokens, urls
 from lamina.llm.common import table
 
 
@@ -35,6 +35,10 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"))
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.link(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "n_equal")
 
@@ -54,7 +58,7 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_token_counts, op2_secret_scan, op3_url_filter, op5_ngram_jaccard, op6_quality_rules, op8_sharding, op9_best_fit_packing]
+    found = [op1_token_counts, op2_secret_scan, op3_url_filter, op4_lm_scoring, op5_ngram_jaccard, op6_quality_rules, op8_sharding, op9_best_fit_packing]
     return {f.__name__: f for f in found}
 
 
