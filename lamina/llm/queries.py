@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamina.llm import jaccard, lm, packing, quality, secrets, shards, tokens, urls
+from lamina.llm import jaccard, leaks, lm, packing, pii, quality, secrets, shards, tokens, urls
 from lamina.llm.common import table
 
 
@@ -48,6 +48,13 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines_removed", "lost_chars")
 
 
+def op7_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The key of a real run comes from outside; this one is for the tables here."""
+    out = pii.pseudonymise(table(spark, sf_dir, "documents"), b"a key for the synthetic tables")
+    n = lambda k: F.size(F.filter("entities", lambda e: e["kind"] == k)).cast("long").alias(f"n_{k}")
+    return out.select("doc_id", *map(n, pii.KINDS), F.transform("entities", lambda e: e["surrogate"]).alias("surrogates"), "text")
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = shards.shard(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -57,8 +64,23 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
 
+def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_token_counts, op2_secret_scan, op3_url_filter, op4_lm_scoring, op5_ngram_jaccard, op6_quality_rules, op8_sharding, op9_best_fit_packing]
+    found = [
+        op1_token_counts,
+        op2_secret_scan,
+        op3_url_filter,
+        op4_lm_scoring,
+        op5_ngram_jaccard,
+        op6_quality_rules,
+        op7_pii_surrogates,
+        op8_sharding,
+        op9_best_fit_packing,
+        op10_benchmark_decontamination,
+    ]
     return {f.__name__: f for f in found}
 
 
