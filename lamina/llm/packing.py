@@ -48,6 +48,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.stems, self.words = Tokenizer.from_file(path), {}, {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[k for token, k in vocabulary.items() if token.endswith("</w>")]] = True
 
     @classmethod
     def shared(cls, path: str) -> Encoder:
@@ -56,18 +59,24 @@ class Encoder:
         return cls._shared[path]
 
     def encode_all(self, words: list[bytes]) -> list[bytes]:
-        """Ids of each word, from one call: which token belongs to which word is told by its place."""
+        """Ids of each word, from one call: a word of letters ends with the token that ends a word; of other words the
+        tokens' places tell."""
         text = [w.decode() for w in words]
         found = self.tokenizer.encode("\n".join(text), add_special_tokens=False)
-        starts = np.cumsum([0] + [len(t) + 1 for t in text])
-        at = np.fromiter((o[0] for o in found.offsets), np.int64, len(found.offsets))
-        cuts = (np.searchsorted(at, starts) * 4).tolist()
-        ids = np.asarray(found.ids, "<u4").tobytes()
-        return [ids[lo:hi] for lo, hi in zip(cuts, cuts[1:], strict=False)]
+        ids = np.asarray(found.ids, "<u4")
+        cuts = np.flatnonzero(self.ends[ids]) + 1
+        if len(cuts) == len(text) and all(map(str.isalpha, text)):
+            cuts = np.concatenate([[0], cuts])
+        else:
+            starts = np.cumsum([0] + [len(t) + 1 for t in text])
+            cuts = np.searchsorted(np.fromiter((o[0] for o in found.offsets), np.int64, len(ids)), starts)
+        raw, cuts = ids.tobytes(), (4 * cuts).tolist()
+        return [raw[lo:hi] for lo, hi in zip(cuts, cuts[1:], strict=False)]
 
     def learn(self, words: list[bytes]) -> None:
         split = [self.parts(w) for w in words]
-        new = list({p for parts in split for p in parts}.difference(self.stems))
+        new = {p for parts in split for p in parts}.difference(self.stems)
+        new = sorted(new, key=lambda w: not w.decode().isalpha())  # those of letters first, apart from the others
         for lo in range(0, len(new), 4000):
             part = new[lo : lo + 4000]
             self.stems.update(zip(part, self.encode_all(part), strict=True))
