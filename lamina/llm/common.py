@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 #: White space of the word rule, for use inside a character class of a Java pattern.
 SPACE = r"\x20\x09-\x0D"
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 ROOT = str(Path(__file__).resolve().parents[2])
 
 
@@ -49,10 +50,16 @@ class Scratch:
         Scratch._made.append((spark, self.base))
 
     def save(self, df: DataFrame) -> DataFrame:
-        """Writes df and returns what was written."""
+        """Writes df and returns what was written. The shuffle files of the run are deleted with its end: what was
+        written does not need them."""
         self.n += 1
         path = f"{self.base}/{self.n}"
-        df.write.parquet(path)
+        before = self.spark.conf.get(CLEANUP, None)
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.set(CLEANUP, before) if before else self.spark.conf.unset(CLEANUP)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, df: DataFrame) -> None:
