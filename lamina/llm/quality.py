@@ -118,7 +118,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 def keep_clean(docs: DataFrame) -> DataFrame:
     """documents without the rejected ones; the others carry their cleaned text. Columns stay as they are."""
     names, q = docs.columns, "__quality"
-    d = docs.withColumn(q, quality(F.col("text")))
+    d = docs.withColumn(q, F.explode(F.array(quality(F.col("text")))))  # a generator keeps the filter from evaluating it again
     w, c, lost = F.col(f"{q}.w.n_words"), F.col(f"{q}.l.word_chars"), F.col(f"{q}.l.lost_chars")
     ok = (w >= MIN_WORDS) & (F.col(f"{q}.w.n_repeat_words") * 100 <= w * MAX_REPEAT_PERCENT) & (lost * 100 <= c * MAX_LOST_PERCENT)
     text = F.when(F.col(f"{q}.l.n_lines_removed") > 0, F.col(f"{q}.l.cleaned_text")).otherwise(F.col("text"))
