@@ -13,10 +13,12 @@ are probed against the long lists by binary search in the partner's sorted set,
 3. Lists are merged. Sketches differ in at most as many bits as sets differ in shingles, so most pairs fall without a
    look at the sets. Of the survivors each node first probes only the nearest; the links found are merged to
    components, and then every survivor between different components is probed. So a group of copies costs as many
-   probes as it has members, and no link between components is missed. Lists above BLOCK nodes are cut into a grid of
+   probes as it has members, and no link between components is missed. Wider sketches, made only of the nodes that got
+   this far, spare most of the remaining vain probes. Lists above BLOCK nodes are cut into a grid of
    block pairs, so a task's memory is bounded.
 
-Sets hold 64-bit hashes of shingles, nodes are 128-bit fingerprints of sets.
+Sets hold 64-bit hashes of shingles (48 bits of them when pairs are probed), nodes are 64-bit fingerprints of sets; of N
+different sets some two share one with a probability of about N * N / 2^65.
 
 Defined results: a null, empty or blank text has no shingles and is linked with nothing, so its component is its own id;
 texts with fewer words than a shingle have one, of all their words; repeated rows are linked with each other; rows
@@ -45,6 +47,8 @@ COUNTED, REPORTED = 1 << 21, 4
 #: Nodes of a list that are compared in one block.
 BLOCK = 4096
 SKETCH_BITS = 512
+#: Bits of the filter by which documents whose sets are wanted are told before their sets are made.
+FILTER_BITS = 1 << 24
 MASK = (1 << 64) - 1
 
 
@@ -85,8 +89,8 @@ def shingle_set(text: bytes | None, width: int, hashes: WordHashes) -> tuple[np.
     return out, total[at]
 
 
-def fingerprint(shingles: np.ndarray) -> bytes:
-    return xxhash.xxh3_128_digest(shingles.tobytes())
+def fingerprint(shingles: np.ndarray) -> int:
+    return xxhash.xxh3_64_intdigest(shingles.tobytes()) - (1 << 63)
 
 
 def sketch(shingles: np.ndarray) -> bytes:
@@ -95,6 +99,40 @@ def sketch(shingles: np.ndarray) -> bytes:
     return np.packbits(n & 1).tobytes()
 
 
+def wide_sketch(shingles: np.ndarray) -> bytes:
+    """A sketch of four bits and more for each shingle; a power of two, so that a wider one can be folded to it."""
+    size = max(SKETCH_BITS, 1 << (4 * len(shingles) - 1).bit_length())
+    n = np.bincount(((shingles >> np.uint64(13)) & np.uint64(size - 1)).astype(np.int64), minlength=size)
+    return np.packbits(n & 1).tobytes()
+
+
+def apart(x: bytes, y: bytes) -> int:
+    """Bits in which two wide sketches differ, the wider one folded: no more than the shingles in which the sets do."""
+    a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    while len(a) > len(b):
+        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+    while len(b) > len(a):
+        b = b[: len(b) // 2] ^ b[len(b) // 2 :]
+    return int(np.bitwise_count(a ^ b).sum())
+
+
+def packed(shingles: np.ndarray) -> bytes:
+    """The upper six bytes of each hash, in order."""
+    return shingles.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 6, 8), np.uint8)
+    out[:, 2:] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    return out.view(">u8").ravel().astype(np.uint64)
+
+
+def most_apart(total: np.ndarray | int, percent: int):
+    """Shingles in which two sets of so many shingles together may differ: what is not shared, twice over."""
+    union = total * 100 // (100 + percent)
+    return total - 2 * (total - union)
+
+
 def needed(n: np.ndarray | int, percent: int):
     """The least overlap with any partner that a set of n can have."""
     return (percent * n + 99) // 100
@@ -118,8 +156,7 @@ def _describe(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Reco
         if len(s) > FREQUENT:
             top = np.argpartition(-n, FREQUENT)[:FREQUENT]
             s, n = s[top], n[top]
-        none = pa.nulls(len(s), pa.binary())
-        return pa.RecordBatch.from_arrays([pa.nulls(len(s), id_type), none, none, pa.array(n), pa.array(s.view(np.int64))], names=["id", "node", "bits", "n", "shingle"])
+        return pa.RecordBatch.from_arrays([pa.nulls(len(s), id_type), pa.nulls(len(s), pa.int64()), pa.nulls(len(s), pa.binary()), pa.array(n), pa.array(s.view(np.int64))], names=["id", "node", "bits", "n", "shingle"])
 
     for big in batches:
         id_type = big["id"].type
@@ -127,7 +164,7 @@ def _describe(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Reco
             sets = [shingle_set(t, width, hashes)[0] for t in texts]
             n = pa.array([len(s) for s in sets], pa.int64())
             none = pa.nulls(len(sets), pa.int64())
-            yield pa.RecordBatch.from_arrays([b["id"], pa.array([fingerprint(s) for s in sets]), pa.array([sketch(s) for s in sets]), n, none], names=["id", "node", "bits", "n", "shingle"])
+            yield pa.RecordBatch.from_arrays([b["id"], pa.array([fingerprint(s) for s in sets], pa.int64()), pa.array([sketch(s) for s in sets]), n, none], names=["id", "node", "bits", "n", "shingle"])
             for s in sets:
                 kept.append(s)
                 n_kept += len(s)
@@ -169,7 +206,7 @@ def _short_lists(batches: Iterator[pa.RecordBatch], width: int, percent: int, fr
                 seen = set()
             s = np.concatenate([np.empty(0, np.uint64), *shingles]).view(np.int64)
             at = pa.array(np.repeat(np.arange(len(nodes)), sizes))
-            yield pa.RecordBatch.from_arrays([pa.array(s), pa.array(nodes, pa.binary()).take(at)], names=["shingle", "node"])
+            yield pa.RecordBatch.from_arrays([pa.array(s), pa.array(nodes, pa.int64()).take(at)], names=["shingle", "node"])
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], columns: list[str], least: int = 1 << 16) -> Iterator[pa.Table]:
@@ -209,9 +246,9 @@ def _bytes(t: pa.Table, column: str, width: int) -> np.ndarray:
 def _drop_single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows sorted by shingle and node: each once, those of shingles with two nodes and more, and the list's size."""
     for t in _blocks(batches, ["shingle"]):
-        node, shingle = _bytes(t, "node", 16), t["shingle"].to_numpy()
+        node, shingle = t["node"].to_numpy(), t["shingle"].to_numpy()
         first = np.ones(len(shingle), bool)
-        first[1:] = (shingle[1:] != shingle[:-1]) | (node[1:] != node[:-1]).any(axis=1)
+        first[1:] = (shingle[1:] != shingle[:-1]) | (node[1:] != node[:-1])
         t = t.filter(pa.array(first))
         starts = _starts(t, ["shingle"])
         sizes = np.diff(np.append(starts, t.num_rows))
@@ -228,7 +265,7 @@ def _survivors(batches: Iterator[pa.RecordBatch], percent: int, nearest: bool) -
         group = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, t.num_rows)))
         n, block, bits = t["n"].to_numpy(), t["block"].to_numpy(), _bytes(t, "bits", SKETCH_BITS // 8)
         across = t["i"].to_numpy() != t["j"].to_numpy()
-        root = _bytes(t, "root", 16)
+        root = t["root"].to_numpy()
         best, partner = np.full(len(n), 1 << 30), np.full(len(n), -1)
         near = np.zeros(len(n), bool)
         low, high = [], []
@@ -242,17 +279,15 @@ def _survivors(batches: Iterator[pa.RecordBatch], percent: int, nearest: bool) -
             small, large = np.minimum(n[at], n[other]), np.maximum(n[at], n[other])
             ok = (100 * small >= percent * large) & (~across[at] | (block[at] != block[other]))
             if not nearest:
-                ok &= (root[at] != root[other]).any(axis=1)
+                ok &= root[at] != root[other]
             x, y = at[ok], other[ok]
-            apart = np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1, dtype=np.int64)
-            union = (n[x] + n[y]) * 100 // (100 + percent)  # overlap T = percent / (100 + percent) of the sum, at least
-            most = n[x] + n[y] - 2 * ((n[x] + n[y]) - union)
-            ok = apart <= most
-            x, y, apart = x[ok], y[ok], apart[ok]
+            differ = np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1, dtype=np.int64)
+            ok = differ <= most_apart(n[x] + n[y], percent)
+            x, y, differ = x[ok], y[ok], differ[ok]
             if nearest:
                 near[x] = near[y] = True
-                closer = apart < best[y]
-                best[y[closer]], partner[y[closer]] = apart[closer], x[closer]
+                closer = differ < best[y]
+                best[y[closer]], partner[y[closer]] = differ[closer], x[closer]
             else:
                 low.append(x)
                 high.append(y)
@@ -268,24 +303,55 @@ def _survivors(batches: Iterator[pa.RecordBatch], percent: int, nearest: bool) -
         yield from pa.table({"a": a, "b": b}).to_batches()
 
 
+def _near(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """The pairs whose wide sketches allow the similarity."""
+    for b in batches:
+        total = (b["n_a"].to_numpy() + b["n_b"].to_numpy()).tolist()
+        keep = [apart(x, y) <= most_apart(t, percent) for x, y, t in zip(b["wide_a"].to_pylist(), b["wide_b"].to_pylist(), total, strict=True)]
+        yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+
 def _probe(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """The pairs that reach the similarity: binary probes of the smaller set's shingles in the larger set."""
     for b in batches:
         keep = []
         for x, y in zip(b["set_a"].to_pylist(), b["set_b"].to_pylist(), strict=True):
-            s, t = sorted((np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)), key=len)
+            s, t = sorted((unpacked(x), unpacked(y)), key=len)
             at = np.minimum(np.searchsorted(t, s), len(t) - 1)
             both = int((t[at] == s).sum())
             keep.append(100 * both >= percent * (len(s) + len(t) - both))
         yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    hashes = WordHashes()
+def _sets(batches: Iterator[pa.RecordBatch], width: int, wanted) -> Iterator[pa.RecordBatch]:
+    """node, set size, wide sketch and set of the documents that pass the filter."""
+    hashes, bits, seen = WordHashes(), wanted.value, set()
     for big in batches:
-        for _, texts in _texts(big, 128):
-            sets = [shingle_set(t, width, hashes)[0] for t in texts]
-            yield pa.RecordBatch.from_arrays([pa.array([fingerprint(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "set"])
+        places = [big[c].to_numpy() for c in ("p0", "p1", "p2")]
+        ok = np.logical_and.reduce([bits[p >> 3] >> (p & 7) & 1 for p in places]).astype(bool)
+        for _, texts in _texts(big.filter(pa.array(ok)), 64):
+            sets = {fingerprint(s): s for s in (shingle_set(t, width, hashes)[0] for t in texts)}
+            sets = [s for k, s in sets.items() if k not in seen]
+            seen.update(map(fingerprint, sets))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([fingerprint(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([wide_sketch(s) for s in sets], pa.binary()), pa.array([packed(s) for s in sets], pa.binary())],
+                names=["node", "n", "wide", "set"],
+            )
+
+
+def _filter_places(column: str) -> list:
+    """Three places of a value in the filter, null included."""
+    value = F.coalesce(F.col(column).cast("string"), F.lit("\0"))
+    return [F.pmod(F.xxhash64(value, F.lit(k)), F.lit(FILTER_BITS)).alias(f"p{k}") for k in range(3)]
+
+
+def _filter_of(rows: DataFrame, column: str) -> np.ndarray:
+    """The filter's bits; FILTER_BITS / 64 words at most reach the driver."""
+    place = rows.select(F.explode(F.array(*_filter_places(column))).alias("p"))
+    words = place.groupBy(F.expr("p div 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("bits")).toArrow()
+    out = np.zeros(FILTER_BITS // 64, np.int64)
+    out[words["word"].to_numpy()] = words["bits"].to_numpy()
+    return out.view(np.uint8)
 
 
 def link(docs: DataFrame, width: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -296,7 +362,7 @@ def link(docs: DataFrame, width: int = 3, percent: int = 90, id_col: str = "doc_
     scratch = Scratch(spark)
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = source.schema["id"].dataType.simpleString()
-    described = scratch.save(source.mapInArrow(partial(_describe, width=width), f"id {kind}, node binary, bits binary, n long, shingle long"))
+    described = scratch.save(source.mapInArrow(partial(_describe, width=width), f"id {kind}, node long, bits binary, n long, shingle long"))
     rows = described.filter("node is not null")
     nodes = rows.filter("n > 0").groupBy("node").agg(F.min("id").alias("least"), F.min("bits").alias("bits"), F.min("n").alias("n"), F.count("*").alias("n_equal"))
     nodes = scratch.save(nodes)
@@ -305,8 +371,8 @@ def link(docs: DataFrame, width: int = 3, percent: int = 90, id_col: str = "doc_
     order = np.argsort(common)
     frequent = spark.sparkContext.broadcast((common[order], count[order]))
 
-    short = source.select("text").mapInArrow(partial(_short_lists, width=width, percent=percent, frequent=frequent), "shingle long, node binary")
-    lists = short.repartition("shingle").sortWithinPartitions("shingle", "node").mapInArrow(_drop_single, "shingle long, node binary, size long")
+    short = source.select("text").mapInArrow(partial(_short_lists, width=width, percent=percent, frequent=frequent), "shingle long, node long")
+    lists = short.repartition("shingle").sortWithinPartitions("shingle", "node").mapInArrow(_drop_single, "shingle long, node long, size long")
     lists = scratch.save(lists.join(nodes.select("node", "n", "bits"), "node"))
 
     def cells(rows: DataFrame) -> DataFrame:
@@ -317,18 +383,23 @@ def link(docs: DataFrame, width: int = 3, percent: int = 90, id_col: str = "doc_
         return grid.select("shingle", "i", "j", "block", "n", "node", "bits", "root").repartition("shingle", "i", "j").sortWithinPartitions("shingle", "i", "j", "n", "node")
 
     def pairs(rows: DataFrame, nearest: bool) -> DataFrame:
-        found = cells(rows).mapInArrow(partial(_survivors, percent=percent, nearest=nearest), "a binary, b binary")
+        found = cells(rows).mapInArrow(partial(_survivors, percent=percent, nearest=nearest), "a long, b long")
         return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
     tried = scratch.save(pairs(lists.withColumn("root", F.col("node")), True))
     wanted = tried.select(F.col("a").alias("node")).union(tried.select("b")).distinct().join(nodes.select("node", "least"), "node")
-    text = source.join(wanted, source["id"].eqNullSafe(wanted["least"]), "left_semi")
-    sets = text.select("text").mapInArrow(partial(_sets, width=width), "node binary, set binary")
-    sets = scratch.save(sets.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"]))
+    bits = spark.sparkContext.broadcast(_filter_of(wanted, "least"))
+    made = source.select("text", *_filter_places("id")).mapInArrow(partial(_sets, width=width, wanted=bits), "node long, n long, wide binary, set binary")
+    sets = scratch.save(made)  # a set that two tasks made, of rows that repeat an id, only repeats pairs
 
     def links(pairs: DataFrame) -> DataFrame:
-        of = lambda c: sets.select(F.col("node").alias(c), F.col("set").alias(f"set_{c}"))
-        return pairs.filter("a <> b").join(of("a"), "a").join(of("b"), "b").mapInArrow(partial(_probe, percent=percent), "a binary, b binary")
+        def both(pairs: DataFrame, *columns: str) -> DataFrame:
+            for c in ("a", "b"):
+                pairs = pairs.join(sets.select(F.col("node").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in columns]), c)
+            return pairs
+
+        near = scratch.save(both(pairs.filter("a <> b"), "n", "wide").mapInArrow(partial(_near, percent=percent), "a long, b long").distinct())
+        return both(near, "set").mapInArrow(partial(_probe, percent=percent), "a long, b long")
 
     first = scratch.save(links(tried))
     roots = scratch.save(components(first, scratch))
