@@ -10,12 +10,12 @@ from lamina.llm.common import Scratch
 from lamina.llm.components import components
 
 
-def plain(rows, percent=90):
+def plain(rows, percent=90, width=3):
     """(n, component) of each (id, text) row, by all pairs."""
     sets = []
     for _, t in rows:
         w = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
-        sets.append({tuple(w[i : i + 3]) for i in range(max(1, len(w) - 2))} if w else set())
+        sets.append({tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} if w else set())
     parent = list(range(len(rows)))
 
     def root(x):
