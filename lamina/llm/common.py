@@ -36,6 +36,18 @@ def attach(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join([ROOT, *filter(None, paths)])
 
 
+_kept: dict[tuple, object] = {}
+
+
+def kept(key: tuple, make: Callable[[], object]):
+    """What a worker remembers between tasks, made on first use. It keeps one thing at a time, so that operators that
+    follow each other in a worker do not add up."""
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = make()
+    return _kept[key]
+
+
 class Scratch:
     """Tables written to the shared folder that the session names in spark.checkpoint.dir; a local folder only where
     that setting is absent, as in tests. A written table cuts lineage, and its files outlive lost executors."""

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamina.llm.common import attach
+from lamina.llm.common import attach, kept
 from lamina.llm.jaccard import mixed
 
 WINDOW = 8
@@ -51,18 +51,14 @@ LITERAL_KIND, NUM, UNIT, NAME = range(4)
 class Words:
     """What each word can be, by a number for each word; remembered up to a bound."""
 
-    _shared: Words | None = None
-
-    def __init__(self, most: int = 400_000):
+    def __init__(self, most: int = 300_000):
         self.most = most
         self.clear()
 
     @classmethod
     def shared(cls) -> Words:
         """One memory for all tasks of a worker."""
-        if cls._shared is None:
-            cls._shared = cls()
-        return cls._shared
+        return kept(("template words",), cls)
 
     def clear(self) -> None:
         self.known: dict[str, int] = {}

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lamina.llm.common import Scratch, attach
+from lamina.llm.common import Scratch, attach, kept
 
 CAPACITY = 2048
 CELL = 4096
@@ -32,8 +32,8 @@ EPOCHS = 2
 GENERATIONS = 3
 #: Bins below this share of the capacity give their pieces to the second round.
 WELL_FILLED = 0.985
-#: Words whose ids a worker remembers; the memory is emptied when full.
-REMEMBERED = 800_000
+#: Words and stems whose ids a worker remembers; the memory is emptied when full.
+REMEMBERED = 600_000
 SIGNS = b".,!?;:%$&#*|"
 
 
@@ -42,21 +42,17 @@ class Encoder:
     text's ids are those of its words in turn, and a word's are those of its stem and of its closing signs. Each stem is
     encoded once and remembered for as long as its worker lives."""
 
-    _shared: dict[str, Encoder] = {}
-
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.stems, self.words = Tokenizer.from_file(path), {}, {}
+        self.tokenizer, self.words = Tokenizer.from_file(path), {}
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[k for token, k in vocabulary.items() if token.endswith("</w>")]] = True
 
     @classmethod
     def shared(cls, path: str) -> Encoder:
-        if path not in cls._shared:
-            cls._shared[path] = cls(path)
-        return cls._shared[path]
+        return kept(("word encoder", path), lambda: cls(path))
 
     def encode_all(self, words: list[bytes]) -> list[bytes]:
         """Ids of each word, from one call: a word of letters ends with the token that ends a word; of other words the
@@ -75,12 +71,12 @@ class Encoder:
 
     def learn(self, words: list[bytes]) -> None:
         split = [self.parts(w) for w in words]
-        new = {p for parts in split for p in parts}.difference(self.stems)
+        new = {p for parts in split for p in parts}.difference(self.words)
         new = sorted(new, key=lambda w: not w.decode().isalpha())  # those of letters first, apart from the others
         for lo in range(0, len(new), 4000):
             part = new[lo : lo + 4000]
-            self.stems.update(zip(part, self.encode_all(part), strict=True))
-        get = self.stems.__getitem__
+            self.words.update(zip(part, self.encode_all(part), strict=True))
+        get = self.words.__getitem__
         for w, parts in zip(words, split, strict=True):
             self.words[w] = get(parts[0]) if len(parts) == 1 else get(parts[0]) + get(parts[1])
 
@@ -102,7 +98,7 @@ class Encoder:
         words = set().union(*split)
         if new := words.difference(self.words):
             if len(self.words) + len(new) > REMEMBERED:
-                self.stems, self.words = {}, {}
+                self.words = {}
                 new = words
             self.learn(list(new))
         get = self.words.__getitem__

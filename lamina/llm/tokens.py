@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamina.llm.common import attach
+from lamina.llm.common import attach, kept
 
 RULES = ("majority", "start", "end")
 
@@ -27,8 +27,6 @@ RULES = ("majority", "start", "end")
 class ByteTokens:
     """Byte lengths of a text's tokens, by a file of ranks (base64 of the bytes, rank) and a split pattern."""
 
-    _shared: dict[tuple[str, str], ByteTokens] = {}
-
     def __init__(self, path: str, pattern: str):
         import tiktoken
 
@@ -40,9 +38,7 @@ class ByteTokens:
 
     @classmethod
     def shared(cls, path: str, pattern: str) -> ByteTokens:
-        if (path, pattern) not in cls._shared:
-            cls._shared[path, pattern] = cls(path, pattern)
-        return cls._shared[path, pattern]
+        return kept(("byte tokens", path, pattern), lambda: cls(path, pattern))
 
     def ends(self, text: str) -> np.ndarray:
         """Byte offsets at which tokens end."""
