@@ -10,8 +10,12 @@ numbers or names are caught, and chance templates are not.
 The benchmark's windows are looked up from a sorted table inside each task, in blocks of at most MAX_WINDOWS windows, a
 pass over the documents for each block; so what is sent to tasks has a fixed bound.
 
-Defined results: null or empty texts on either side match nothing; items shorter than a window are one window; equal
-items match each for itself; repeated rows are judged each on its own; an empty benchmark leaves all documents clean;
+Items that windows cannot find are found as a whole: an item shorter than a window by one window of its own width, one
+with fewer literal words than LITERAL in each of its windows by all of its template. An item too short or too dense for
+a window past its first two words (at a sentence's start a name is not told from a word), or with hardly a literal word
+at all, is also or only found word for word, since the template of "12 + 7 = 19" is that of every sum.
+
+Defined results: null or empty texts on either side match nothing; equal items match each for itself; repeated rows are judged each on its own; an empty benchmark leaves all documents clean;
 only ids and texts are read, further columns are passed on untouched by drop_leaks.
 """
 
@@ -46,6 +50,10 @@ NUMBER = re.compile(r"[+-]?[$€£]?\d[\d.,:/]*(?:st|nd|rd|th)?%?", re.I)
 OUTER = re.compile(r"^[^\w+$€£%°-]+|[^\w%$€£°]+$")
 END = (".", "!", "?", ":", "…", "。")
 LITERAL_KIND, NUM, UNIT, NAME = range(4)
+#: What a hit on an entry of the index tells: a window of an item, all of its template, or all of its words.
+PART, TEMPLATE, WORDS = range(3)
+#: Told from the widths of template windows in hashes.
+WORDS_SEED = 1000
 
 
 class Words:
@@ -115,19 +123,52 @@ class Template:
     value: np.ndarray
     code: np.ndarray
 
+    def literals(self, width: int) -> np.ndarray:
+        """Literal words in each window of width."""
+        literal = np.concatenate([[0], np.cumsum(self.kind == LITERAL_KIND)])
+        return literal[width:] - literal[:-width]
+
     def windows(self) -> tuple[np.ndarray, np.ndarray]:
         """Starts and hashes of the windows with enough literal words."""
         n = len(self.code)
         width = min(WINDOW, n)
         if not n:
             return np.empty(0, np.int64), np.empty(0, np.uint64)
-        m = n - width + 1
-        h = np.full(m, width, np.uint64)
-        for k in range(width):
-            h = mixed(h * np.uint64(0xD1342543DE82EF95) + self.code[k : k + m])
-        literal = np.concatenate([[0], np.cumsum(self.kind == LITERAL_KIND)])
-        ok = np.flatnonzero(literal[width:] - literal[:-width] >= min(LITERAL, width))
-        return ok, h[ok]
+        ok = np.flatnonzero(self.literals(width) >= min(LITERAL, width))
+        return ok, hashes(self.code, width)[ok]
+
+    def whole(self, doc: Template, shift: int, tells: int) -> bool:
+        """Whether all of this item's template or words lie in doc from shift on."""
+        if shift < 0 or shift + len(self.code) > len(doc.code):
+            return False
+        at = slice(shift, shift + len(self.code))
+        same = self.value == doc.value[at]
+        return bool((same if tells == WORDS else same | (self.code == doc.code[at])).all())
+
+    def entries(self) -> list[tuple[int, int, int, int]]:
+        """Hash, start, what a hit tells and width of what the index holds of an item."""
+        n = len(self.code)
+        if not n:
+            return []
+        width = min(WINDOW, n)
+        at, h = self.windows()
+        out = [(x, k, PART if n >= WINDOW else TEMPLATE, width) for k, x in zip(at.tolist(), h.tolist(), strict=True)]
+        literal = self.literals(width)
+        if n >= WINDOW and not out and literal.max() > 0:
+            k = int(literal.argmax())
+            out.append((int(hashes(self.code, width)[k]), k, TEMPLATE, width))
+        if not (at >= 2).any():
+            out.append((int(hashes(self.value, width, WORDS_SEED)[0]), 0, WORDS, width))
+        return out
+
+
+def hashes(of: np.ndarray, width: int, seed: int = 0) -> np.ndarray:
+    """Hashes of all windows of width."""
+    m = len(of) - width + 1
+    h = np.full(m, width + seed, np.uint64)
+    for k in range(width):
+        h = mixed(h * np.uint64(0xD1342543DE82EF95) + of[k : k + m])
+    return h
 
 
 class Index:
@@ -136,33 +177,48 @@ class Index:
     def __init__(self, items: list[tuple[int, str]]):
         words = Words()
         self.items = [(i, words(t or "")) for i, t in items]
-        found = [t.windows() for _, t in self.items]
-        none = np.empty(0, np.int64)
-        self.item = np.concatenate([none, *[np.full(len(at), k) for k, (at, _) in enumerate(found)]])
-        self.at = np.concatenate([none, *[at for at, _ in found]])
-        h = np.concatenate([none.astype(np.uint64), *[h for _, h in found]])
+        found = [(h, k, at, tells, width) for k, (_, t) in enumerate(self.items) for h, at, tells, width in t.entries()]
+        h = np.array([f[0] for f in found], np.uint64)
         order = np.argsort(h, kind="stable")
-        self.hash, self.item, self.at = h[order], self.item[order], self.at[order]
-        self.short = min([WINDOW, *(len(t.code) for _, t in self.items if len(t.code))])
+        self.hash = h[order]
+        self.item, self.at, self.tells = (np.array([f[c] for f in found], np.int64)[order] for c in (1, 2, 3))
+        self.dense = any(tells == TEMPLATE and width == WINDOW for _, _, _, tells, width in found)
+        self.short = sorted({width for *_, tells, width in found if tells != WORDS and width < WINDOW})
+        self.word_widths = sorted({width for *_, tells, width in found if tells == WORDS})
+
+    def windows(self, doc: Template) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Starts and hashes of the windows of doc that the index can hold."""
+        n = len(doc.code)
+        if n >= WINDOW:
+            if self.dense:
+                yield np.arange(n - WINDOW + 1), hashes(doc.code, WINDOW)
+            else:
+                yield doc.windows()
+        for of, widths, seed in ((doc.code, self.short, 0), (doc.value, self.word_widths, WORDS_SEED)):
+            for width in widths:
+                if width <= n:
+                    yield np.arange(n - width + 1), hashes(of, width, seed)
 
     def matches(self, doc: Template) -> list[tuple[int, int, int, int, int, bool]]:
         """(item id, tokens covered, item's tokens, slots, slots changed, consistent) of each item that doc matches."""
         if not len(self.hash) or not len(doc.code):
             return []
-        diagonals: dict[tuple[int, int], None] = {}
-        starts, h = doc.windows()
-        lo = np.searchsorted(self.hash, h)
-        hit = np.flatnonzero((lo < len(self.hash)) & (self.hash[np.minimum(lo, len(self.hash) - 1)] == h))
-        for k in hit.tolist():
-            j = int(lo[k])
-            while j < len(self.hash) and self.hash[j] == h[k]:
-                diagonals[int(self.item[j]), int(starts[k] - self.at[j])] = None
-                j += 1
+        diagonals: dict[tuple[int, int, int], None] = {}
+        for starts, h in self.windows(doc):
+            lo = np.searchsorted(self.hash, h)
+            hit = np.flatnonzero(self.hash[np.minimum(lo, len(self.hash) - 1)] == h)
+            for k in hit.tolist():
+                j = int(lo[k])
+                while j < len(self.hash) and self.hash[j] == h[k]:
+                    diagonals[int(self.item[j]), int(starts[k] - self.at[j]), int(self.tells[j])] = None
+                    j += 1
         best: dict[int, tuple] = {}
-        for item, shift in diagonals:
-            found = self.compare(self.items[item][1], doc, shift)
-            if found and (item not in best or found > best[item]):
-                best[item] = found
+        for item, shift, tells in diagonals:
+            of = self.items[item][1]
+            if tells == PART or of.whole(doc, shift, tells):
+                found = self.compare(of, doc, shift)
+                if found and (item not in best or found > best[item]):
+                    best[item] = found
         return [(self.items[i][0], f[1], len(self.items[i][1].code), f[2], f[3], f[0]) for i, f in sorted(best.items())]
 
     @staticmethod

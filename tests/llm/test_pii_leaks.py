@@ -101,3 +101,29 @@ def test_leaks_table(spark, monkeypatch, most):
     for d, i in got:
         w = items[i].split()
         assert any(" ".join(w[k : k + 6]) in docs[d] for k in range(len(w) - 5))
+
+
+LONG = "There is much to say before and a great deal of it has been said. {} And there is as much to say after it, if not more"
+
+
+@pytest.mark.parametrize(
+    ("item", "inside", "found"),
+    [
+        ("short item of five words", "short item of five words", True),
+        ("capital of which country", "Capital of which country?", True),
+        ("Paris is no large town", "so Paris is no large town", True),
+        ("add 12 to twenty and halve", "add 15 to twenty and halve", True),
+        ("short item of five words", "short item of six words", False),
+        ("12 + 7 = 19", "we know 12 + 7 = 19 well", True),
+        ("12 + 7 = 19", "we know 13 + 8 = 21 well", False),
+        ("sum 3 4 5 6 7 8 9 and 10 11 12 13", "sum 3 4 5 6 7 8 9 and 10 11 12 13", True),
+        ("sum 3 4 5 6 7 8 9 and 10 11 12 13", "sum 5 4 3 6 7 8 9 and 10 11 12 14", True),
+        ("sum 3 4 5 6 7 8 9 and 10 11 12 13", "sum 5 4 3 6 7 8 9 or 10 11 12 14", False),
+        ("sum 3 4 5 6 7 8 9 and 10 11 12 13", "sum 5 4 5 6 7 8 9 and 10 11 12 14", False),
+        ("3 4 5 6 7 8 9 10 11", "x 3 4 5 6 7 8 9 10 11", True),
+        ("3 4 5 6 7 8 9 10 11", "x 4 5 6 7 8 9 10 11 12", False),
+    ],
+)
+def test_short_and_dense_items_in_long_documents(item, inside, found):
+    got = leaks.Index([(1, item), (2, "words of another item that is long enough for a window")]).matches(leaks.Words()(LONG.format(inside)))
+    assert [m[0] for m in got if m[-1]] == [1] * found
