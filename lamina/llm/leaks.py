@@ -2,10 +2,12 @@
 
 Texts become template tokens: numbers, units after numbers and names inside sentences give way to typed placeholders,
 other words are lower-cased without their outer signs. Windows of WINDOW template tokens (with at least LITERAL words
-among them) of every document are hash-joined to those of the benchmark. Hits on one diagonal (place in the document
-less place in the item) are one match: it is compared token by token, and its slots must be consistent, that is, one
-value of the item stands for one value of the document and the other way round, in each type. So questions with other
-numbers or names are caught, and chance templates are not.
+among them) of every document are hash-joined to those of the benchmark; the words of one name are one token. Hits on
+one diagonal (place in the document less place in the item) are compared token by token; runs of agreement around hits
+that follow each other in document and item are chained, so that inserted and left out words do no harm. A match covers
+COVERAGE of the item, and the slots inside its windows must be consistent, that is, one value of the item stands for one
+value of the document and the other way round, in each type; or it has a run of EXACT tokens word for word. So questions
+with other numbers or names are caught, and chance templates are not.
 
 The benchmark's windows are looked up from a sorted table inside each task, in blocks of at most MAX_WINDOWS windows, a
 pass over the documents for each block; so what is sent to tasks has a fixed bound.
@@ -22,6 +24,7 @@ only ids and texts are read, further columns are passed on untouched by drop_lea
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import chain
@@ -39,6 +42,8 @@ WINDOW = 8
 LITERAL = 5
 #: Share of an item's tokens that a match must cover, in percent.
 COVERAGE = 50
+#: Tokens that match by themselves if they agree word for word.
+EXACT = 13
 MAX_WINDOWS = 2_000_000
 #: Fixed unit words.
 UNITS = frozenset(
@@ -82,11 +87,12 @@ class Words:
 
     @staticmethod
     def of(word: str) -> tuple[int, int]:
-        """Hash, and flags: 1 a number, 2 a unit, 4 capitalised, 8 ends a sentence."""
+        """Hash, and flags: 1 a number, 2 a unit, 4 capitalised, 8 ends a sentence, 16 a sign follows."""
         bare = word if word.isalpha() else OUTER.sub("", word) or word
         low = bare.lower()
         flags = 2 * (low in UNITS) + 4 * (bare[:1].isupper() and bare[1:2].islower())
         if bare is not word:
+            flags += 16 * (not word.endswith(bare))
             flags += 8 * word.endswith(END) or 8 * word.rstrip("\"')]»”’").endswith(END)
         if not bare.isalpha() and NUMBER.fullmatch(bare):
             flags += 1
@@ -96,7 +102,8 @@ class Words:
         parts = [line.split() for line in text.split("\n")]
         words = list(chain.from_iterable(parts))
         if not words:
-            return Template(words, np.empty(0, np.int8), np.empty(0, np.uint64), np.empty(0, np.uint64))
+            none = np.empty(0, np.uint64)
+            return Template(none, np.empty(0, np.int8), none, none)
         if new := set(words).difference(self.known):
             if len(self.known) + len(new) > self.most:
                 self.clear()
@@ -111,14 +118,21 @@ class Words:
         kind = (capital & ~after) * np.int8(NAME)
         kind[1:][unit[1:] & number[:-1]] = UNIT
         kind[number] = NUM
-        return Template(words, kind, h, np.where(kind == LITERAL_KIND, h, kind.astype(np.uint64)))
+        raw, name = h, kind == NAME
+        goes_on = np.concatenate([[False], name[1:] & name[:-1] & (flags[:-1] & 16 == 0)])
+        if goes_on.any():  # the words of one name become one token
+            first = np.flatnonzero(~goes_on)
+            place = np.arange(len(h)) - first[np.cumsum(~goes_on) - 1]
+            h = np.add.reduceat(np.where(goes_on, mixed(h + place.astype(np.uint64)), h), first)
+            kind = kind[first]
+        return Template(raw, kind, h, np.where(kind == LITERAL_KIND, h, kind.astype(np.uint64)))
 
 
 @dataclass
 class Template:
-    """words, the kind and value of each, and codes: the value of literals, the kind of slots."""
+    """raw: the values of all words; the kind and value of each token, and codes: the value of literals, the kind of slots."""
 
-    words: list[str]
+    raw: np.ndarray
     kind: np.ndarray
     value: np.ndarray
     code: np.ndarray
@@ -137,13 +151,20 @@ class Template:
         ok = np.flatnonzero(self.literals(width) >= min(LITERAL, width))
         return ok, hashes(self.code, width)[ok]
 
-    def whole(self, doc: Template, shift: int, tells: int) -> bool:
-        """Whether all of this item's template or words lie in doc from shift on."""
-        if shift < 0 or shift + len(self.code) > len(doc.code):
-            return False
-        at = slice(shift, shift + len(self.code))
-        same = self.value == doc.value[at]
-        return bool((same if tells == WORDS else same | (self.code == doc.code[at])).all())
+    def whole(self, doc: Template, shift: int, tells: int) -> tuple[bool, int, int, int] | None:
+        """Like compare, if all of this item's template or words lie in doc from shift on."""
+        n, slots = len(self.code), self.kind != LITERAL_KIND
+        a, b = (self.raw, doc.raw) if tells == WORDS else (self.value, doc.value)
+        if shift < 0 or shift + len(a) > len(b):
+            return None
+        same = a == b[shift : shift + len(a)]
+        if tells == WORDS:
+            return (True, n, int(slots.sum()), 0) if same.all() else None
+        alike = self.code == doc.code[shift : shift + n]
+        if not (same | alike).all():
+            return None
+        at = np.flatnonzero(slots & alike)
+        return consistent(pairs(self, doc, shift, at)), n, len(at), int((~same[at]).sum())
 
     def entries(self) -> list[tuple[int, int, int, int]]:
         """Hash, start, what a hit tells and width of what the index holds of an item."""
@@ -158,7 +179,7 @@ class Template:
             k = int(literal.argmax())
             out.append((int(hashes(self.code, width)[k]), k, TEMPLATE, width))
         if not (at >= 2).any():
-            out.append((int(hashes(self.value, width, WORDS_SEED)[0]), 0, WORDS, width))
+            out.append((int(hashes(self.raw, min(WINDOW, len(self.raw)), WORDS_SEED)[0]), 0, WORDS, min(WINDOW, len(self.raw))))
         return out
 
 
@@ -194,48 +215,130 @@ class Index:
                 yield np.arange(n - WINDOW + 1), hashes(doc.code, WINDOW)
             else:
                 yield doc.windows()
-        for of, widths, seed in ((doc.code, self.short, 0), (doc.value, self.word_widths, WORDS_SEED)):
+        for of, widths, seed in ((doc.code, self.short, 0), (doc.raw, self.word_widths, WORDS_SEED)):
             for width in widths:
-                if width <= n:
-                    yield np.arange(n - width + 1), hashes(of, width, seed)
+                if width <= len(of):
+                    yield np.arange(len(of) - width + 1), hashes(of, width, seed)
 
     def matches(self, doc: Template) -> list[tuple[int, int, int, int, int, bool]]:
         """(item id, tokens covered, item's tokens, slots, slots changed, consistent) of each item that doc matches."""
         if not len(self.hash) or not len(doc.code):
             return []
-        diagonals: dict[tuple[int, int, int], None] = {}
+        hits: dict[int, dict[int, set[int]]] = {}
+        best: dict[int, tuple] = {}
         for starts, h in self.windows(doc):
             lo = np.searchsorted(self.hash, h)
             hit = np.flatnonzero(self.hash[np.minimum(lo, len(self.hash) - 1)] == h)
             for k in hit.tolist():
                 j = int(lo[k])
                 while j < len(self.hash) and self.hash[j] == h[k]:
-                    diagonals[int(self.item[j]), int(starts[k] - self.at[j]), int(self.tells[j])] = None
+                    item, at, tells = int(self.item[j]), int(self.at[j]), int(self.tells[j])
+                    shift = int(starts[k]) - at
+                    if tells == PART:
+                        hits.setdefault(item, {}).setdefault(shift, set()).add(at)
+                    elif (found := self.items[item][1].whole(doc, shift, tells)) and (item not in best or found > best[item]):
+                        best[item] = found
                     j += 1
-        best: dict[int, tuple] = {}
-        for item, shift, tells in diagonals:
-            of = self.items[item][1]
-            if tells == PART or of.whole(doc, shift, tells):
-                found = self.compare(of, doc, shift)
-                if found and (item not in best or found > best[item]):
-                    best[item] = found
+        for item, diagonals in hits.items():
+            found = self.compare(self.items[item][1], doc, diagonals)
+            if found and (item not in best or found > best[item]):
+                best[item] = found
         return [(self.items[i][0], f[1], len(self.items[i][1].code), f[2], f[3], f[0]) for i, f in sorted(best.items())]
 
     @staticmethod
-    def compare(item: Template, doc: Template, shift: int) -> tuple[bool, int, int, int] | None:
-        lo, hi = max(0, -shift), min(len(item.code), len(doc.code) - shift)
-        a, b = slice(lo, hi), slice(lo + shift, hi + shift)
-        same = item.code[a] == doc.code[b]
-        slots = same & (item.kind[a] != LITERAL_KIND)
-        # A name at a sentence's start is a literal there; where only one side took it for a name, equal words still agree.
-        same |= item.value[a] == doc.value[b]
-        pairs = {(int(k), int(x), int(y)) for k, x, y in zip(item.kind[a][slots], item.value[a][slots], doc.value[b][slots], strict=True)}
-        consistent = len({(k, x) for k, x, _ in pairs}) == len({(k, y) for k, _, y in pairs}) == len(pairs)
-        changed = int((item.value[a][slots] != doc.value[b][slots]).sum())
-        covered = int(same.sum())
-        if 100 * covered < COVERAGE * len(item.code):
-            return None
-        return consistent, covered, int(slots.sum()), changed
+    def compare(item: Template, doc: Template, diagonals: dict[int, set[int]]) -> tuple[bool, int, int, int] | None:
+        """Whether slots are consistent, tokens covered, slots and changed slots of the best match of an item whose
+        windows hit at places by diagonal."""
+        n, best, runs = len(item.code), None, []
+        for shift, places in diagonals.items():
+            lo, hi = max(0, -shift), min(n, len(doc.code) - shift)
+            a, b = slice(lo, hi), slice(lo + shift, hi + shift)
+            equal, slot, same, window = (np.zeros(n, bool) for _ in range(4))
+            equal[a] = item.value[a] == doc.value[b]
+            slot[a] = (item.code[a] == doc.code[b]) & (item.kind[a] != LITERAL_KIND)
+            # A name at a sentence's start is a literal there; where only one side took it for a name, equal words still agree.
+            same[a] = (item.code[a] == doc.code[b]) | equal[a]
+            for k in places:
+                window[k : k + WINDOW] = True
+            here = []
+            for s, e in stretches(same):
+                if not window[s:e].any():
+                    continue
+                while s < e and slot[s] and not equal[s]:  # what stands at the edge can be there by chance
+                    s += 1
+                while s < e and slot[e - 1] and not equal[e - 1]:
+                    e -= 1
+                at = np.flatnonzero(slot[s:e] & window[s:e]) + s
+                here.append(Run(e - s, s, e, shift, pairs(item, doc, shift, at), len(at), int((~equal[at]).sum())))
+                for x, y in stretches(equal[s:e]):
+                    if y - x >= EXACT:
+                        best = max(best or (False,), (True, y - x, int(slot[s + x : s + y].sum()), 0))
+            runs += here
+            covered = int(same.sum())
+            if 100 * covered >= COVERAGE * n:
+                fits = consistent(set().union(*[r.pairs for r in here]))
+                best = max(best or (False,), (fits, covered, sum(r.slots for r in here), sum(r.changed for r in here)))
+        if len(runs) > 1 and not (best and best[0] and best[1] == n):
+            found = chained(runs, n)
+            best = max(best or (False,), found) if found else best
+        return best
+
+
+@dataclass
+class Run:
+    """Agreement around hits: tokens, where it begins and ends in the item, its diagonal, pairs of values, slots."""
+
+    size: int
+    start: int
+    end: int
+    shift: int
+    pairs: set[tuple[int, int, int]]
+    slots: int
+    changed: int
+
+
+def chained(runs: list[Run], n: int) -> tuple[bool, int, int, int] | None:
+    """The first chain of consistent runs, from the longest run on, that covers enough of an item of n tokens. Runs of a
+    chain follow each other in item and document, and lie within the document as near as a few items' length."""
+    runs = sorted((r for r in runs if consistent(r.pairs)), key=lambda r: r.start + r.shift)
+    places = [r.start + r.shift for r in runs]
+    for k in sorted(range(len(runs)), key=lambda k: -runs[k].size):
+        near = runs[bisect_left(places, places[k] - 2 * n - WINDOW) : bisect_right(places, places[k] + 2 * n + WINDOW)]
+        if 100 * sum(r.size for r in near) < COVERAGE * n:
+            continue
+        chain, held = [runs[k]], runs[k].pairs
+        for r in sorted(near, key=lambda r: -r.size):
+            if all(follows(r, c) or follows(c, r) for c in chain) and (r.pairs <= held or consistent(held | r.pairs)):
+                chain.append(r)
+                held = held | r.pairs
+        chain.sort(key=lambda r: r.start)
+        covered, end, doc_end = 0, 0, 0
+        for r in chain:
+            covered += max(0, min(r.end - max(r.start, end), r.end + r.shift - max(r.start + r.shift, doc_end)))
+            end, doc_end = r.end, r.end + r.shift
+        if 100 * covered >= COVERAGE * n:
+            return True, covered, sum(r.slots for r in chain), sum(r.changed for r in chain)
+    return None
+
+
+def follows(a: Run, b: Run) -> bool:
+    """Whether a begins and ends after b, in item and document."""
+    return a.start > b.start and a.end > b.end and a.start + a.shift > b.start + b.shift and a.end + a.shift > b.end + b.shift
+
+
+def pairs(item: Template, doc: Template, shift: int, at: np.ndarray) -> set[tuple[int, int, int]]:
+    """Kind, value in the item and value in the document of the slots at these places of the item."""
+    return set(zip(item.kind[at].tolist(), item.value[at].tolist(), doc.value[at + shift].tolist(), strict=True))
+
+
+def consistent(found: set[tuple[int, int, int]]) -> bool:
+    return len({(k, x) for k, x, _ in found}) == len({(k, y) for k, _, y in found}) == len(found)
+
+
+def stretches(of: np.ndarray) -> list[tuple[int, int]]:
+    """Begin and end of each run of True."""
+    edge = np.flatnonzero(np.diff(np.concatenate([[False], of, [False]]).astype(np.int8)))
+    return list(zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True))
 
 
 def _indexes(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[Index]:

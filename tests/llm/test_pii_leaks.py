@@ -127,3 +127,25 @@ LONG = "There is much to say before and a great deal of it has been said. {} And
 def test_short_and_dense_items_in_long_documents(item, inside, found):
     got = leaks.Index([(1, item), (2, "words of another item that is long enough for a window")]).matches(leaks.Words()(LONG.format(inside)))
     assert [m[0] for m in got if m[-1]] == [1] * found
+
+
+TWO = "How many more coins than her friend has Anna left when Boris gives 12 coins to Anna and she then loses 5 coins on the way home"
+FAR = "The number 12 and 5 are here. " * 3
+PIECES = TWO.split()
+
+
+@pytest.mark.parametrize(
+    ("item", "text", "found"),
+    [
+        (TWO, TWO.replace("Anna", "Mary Ann").replace("Boris", "Peter Paul").replace("12", "31"), True),
+        (TWO, " ".join([*PIECES[:8], "over", *PIECES[8:17], "just", *PIECES[17:]]), True),
+        (TWO, " ".join([*PIECES[:8], *PIECES[9:16], *PIECES[17:]]), True),
+        (TWO + " and now a word of another kind that makes the whole of it a very long item of a great many words" * 2, "I heard: " + " ".join(PIECES[4:18]) + " at last", True),
+        (TWO, f"{' '.join(PIECES[:14])} marbles for Carl at noon", True),
+        (TWO, "How many more coins than her friend has Anna left at the end of a day in the town", False),
+        (TWO, "All the same there are many more coins in the bank. " * 4, False),
+    ],
+)
+def test_matches_in_pieces(item, text, found):
+    got = leaks.Index([(1, item)]).matches(leaks.Words()(f"{FAR}{text}. {FAR}"))
+    assert [m[0] for m in got if m[-1]] == [1] * found
