@@ -4,6 +4,9 @@ Base kinds are always reported: assignments to a secret's name, access identifie
 (user or client names, bare key-like strings, endpoints) are reported only where a complementary part lies within the
 same scope: an interval join of the candidates inside each document, on the distance between spans.
 
+Key-like strings are runs of 32 and more letters, digits and signs of base64 or base64url, also behind an equals sign.
+The SQL twin has the narrower rule of 32 to 64 without "-" and "_" and not behind an equals sign; the two differ there.
+
 Defined results: a null text counts as empty; texts without findings have an empty list; spans are code points with the
 end excluded; equal spans of one kind appear once; repeated rows are scanned each on its own. Only the id and text
 columns are read, so further columns do not matter.
@@ -20,7 +23,7 @@ ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?(
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]{24,}"  # the maximal runs of 24 and more, the same as all runs without the short ones
 WEAK_ID = r"""(?i:\b(?:user(?:_?name)?|login|account(?:_?id)?|client_?id))["']?\x20*[:=]\x20*["']?[A-Za-z0-9_.@-]{3,64}"""
-WEAK_SECRET = r"(?<![A-Za-z0-9+/=_-])(?=[A-Za-z0-9+/]{32})(?=[A-Za-z+/]{0,39}[0-9])(?=[a-z0-9+/]{0,39}[A-Z])[A-Za-z0-9+/]{32,64}={0,2}(?![A-Za-z0-9+/=_-])"
+WEAK_SECRET = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])(?=[a-z0-9+/_-]*+[A-Z])[A-Za-z0-9+/_-]{32,}+={0,2}(?![A-Za-z0-9+/=_-])"
 ENDPOINT = r"""(?i:\b(?:https?|ftp|ssh|jdbc:[a-z0-9]+|postgres(?:ql)?|mysql|redis|amqps?|mongodb))://[^\x20\x09-\x0D"'<>]+"""
 #: Order of the kinds where spans start together.
 KINDS = ("assign", "access", "hex", "weak_id", "weak_secret", "endpoint")
