@@ -8,8 +8,15 @@ the same (distinctness), and no table of values has to be kept or shuffled. What
 country code, the validity of a card's check digit, private address ranges, an address's top-level domain (under the
 reserved name "example"), the form of address and a name's last letter, with which gender goes.
 
+The permutations have no fixed points: a value with a character of CLASSES never stands for itself. Names are found
+after a form of address; the words of a name so found are replaced wherever they stand in the same document. Names that
+never follow a form of address there, and characters outside CLASSES, stay.
+
 Collision checks: surrogates are checked against each other and against the originals inside every document while they
-are made; collisions() checks them over the whole table.
+are made. A surrogate that equals another original of the document gives way to one of a further permutation, so there,
+and only there, a value can have another surrogate than in other documents, and that one can be some other value's
+elsewhere. Where a format has too few values for that, the surrogate stays. collisions() counts what stands for several
+values over the whole table.
 
 Defined results: null texts stay null with no entities, empty texts likewise; overlapping candidates are resolved in
 favour of the earlier, then the longer; repeated rows get equal results; only the id and text columns are read.
@@ -31,6 +38,8 @@ from lamina.llm.common import attach
 
 KINDS = ("email", "phone", "card", "ip", "name")
 ROUNDS = 8
+#: Permutations that are tried where a surrogate equals another original of its document.
+FURTHER = 200
 #: Fixed forms of address.
 TITLES = "Mr|Mrs|Ms|Miss|Dr|Prof|Sir|Madam|Herr|Frau|Monsieur|Madame|Mme|Mlle|Señor|Señora|Sr|Sra|Don|Doña|Signor|Signora"
 EMAIL = re.compile(r"(?<![\w.+%-])[\w.+%-]{1,64}@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z]{2,24}(?![\w-])")
@@ -38,6 +47,7 @@ IP = re.compile(r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-
 CARD = re.compile(r"(?<![\w.+-])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{5})(?![\w-])", re.A)
 PHONE = re.compile(r"(?<![\w.+-])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,5}(?:[ .-]?\d{2,5}){1,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?![\w-])", re.A)
 NAME = re.compile(rf"\b(?:{TITLES})\b\.?(?: [A-ZÀ-ÖØ-ÞΑ-ΩА-Я][\w’'-]+){{1,3}}")
+TITLE = re.compile(rf"(?:{TITLES})\b\.? ")
 DIGIT = re.compile(r"\d", re.A)
 #: Characters that stand for each other.
 CLASSES = ("0123456789", "aeiouy", "bcdfghjklmnpqrstvwxz", "AEIOUY", "BCDFGHJKLMNPQRSTVWXZ", "àáâäèéêëìíîïòóôöùúûü", "ÀÁÂÄÈÉÊËÌÍÎÏÒÓÔÖÙÚÛÜ", "αεηιουω", "βγδζθκλμνξπρστφχψ", "аеиоуыэюя", "бвгджзклмнпрстфхцчшщ", "АЕИОУЫЭЮЯ", "БВГДЖЗКЛМНПРСТФХЦЧШЩ")
@@ -67,10 +77,17 @@ class Surrogates:
                 number, span = number * m + x, span * m
             halves.append(number)
             spans.append(span)
+        # A step on a cycle of all vectors in a keyed order: a permutation without fixed points.
         tag = f"{label}|{sizes}".encode()
         for n in range(ROUNDS):
             half = n % 2
             halves[half] = (halves[half] + self._round(tag, n, half, halves[1 - half])) % spans[half]
+        total = spans[0] * spans[1]
+        step = 1 + self._round(tag, ROUNDS, 2, 0) % max(1, total - 1)
+        halves = list(divmod((halves[0] * spans[1] + halves[1] + step) % total, spans[1]))
+        for n in reversed(range(ROUNDS)):
+            half = n % 2
+            halves[half] = (halves[half] - self._round(tag, n, half, halves[1 - half])) % spans[half]
         out = []
         for number, s in zip(halves, (sizes[:cut], sizes[cut:]), strict=True):
             part = []
@@ -91,41 +108,63 @@ class Surrogates:
             out[k] = c[x]
         return "".join(out)
 
-    def email(self, text: str) -> str:
+    def email(self, text: str, more: str = "") -> str:
         local, _, domain = text.rpartition("@")
-        return f"{self.letters(local, 'local')}@{'.'.join(self.letters(p, 'domain') for p in domain.split('.')[:-1])}.{domain.rsplit('.', 1)[1]}.example"
+        return f"{self.letters(local, 'local' + more)}@{'.'.join(self.letters(p, 'domain' + more) for p in domain.split('.')[:-1])}.{domain.rsplit('.', 1)[1]}.example"
 
-    def phone(self, text: str) -> str:
+    def phone(self, text: str, more: str = "") -> str:
         country = re.match(r"\+\d{1,3}(?=[ .(-])", text)
-        return self.letters(text, "phone", set(range(country.end())) if country else frozenset())
+        return self.letters(text, "phone" + more, set(range(country.end())) if country else frozenset())
 
-    def card(self, text: str) -> str:
+    def card(self, text: str, more: str = "") -> str:
         digits = [int(c) for c in text if c in CLASSES[0]]
         offset = (digits[-1] - check_digit(digits[:-1])) % 10
-        new = self.permuted(digits[:-1], [10] * (len(digits) - 1), f"card|{offset}")
+        new = self.permuted(digits[:-1], [10] * (len(digits) - 1), f"card{more}|{offset}")
         new = iter([*new, (check_digit(new) + offset) % 10])
         return "".join(str(next(new)) if c in CLASSES[0] else c for c in text)
 
-    def ip(self, text: str) -> str:
+    def ip(self, text: str, more: str = "") -> str:
         parts = [int(p) for p in text.split(".")]
         kind = lambda p: range_of(".".join(map(str, p)))
         here, new = kind(parts), parts
         while True:  # walks the cycle of the permutation to the next address of the same range, itself a permutation
-            new = self.permuted(new, [256] * 4, "ip")
+            new = self.permuted(new, [256] * 4, "ip" + more)
             if kind(new) == here:
                 return ".".join(map(str, new))
 
-    def name(self, text: str) -> str:
-        title = re.match(rf"(?:{TITLES})\b\.? ", text)
-        at = title.end() if title else 0
-        return text[:at] + " ".join(self.letters(w, "name", {len(w) - 1}) for w in text[at:].split(" "))
+    def word(self, text: str, more: str = "") -> str:
+        """A name's word; its last letter stays unless no other can change."""
+        last = len(text) - 1
+        return self.letters(text, "name" + more, {last} if any(c in CLASS_OF for c in text[:last]) else frozenset())
 
-    def of(self, kind: str, text: str) -> str:
-        if (kind, text) not in self.known:
+    def of(self, kind: str, text: str, more: str = "") -> str:
+        """The surrogate of a value (of a word, for names); more names a further permutation."""
+        if (kind, text, more) not in self.known:
             if len(self.known) > 200_000:
                 self.known = {}
-            self.known[kind, text] = getattr(self, kind)(text)
-        return self.known[kind, text]
+            self.known[kind, text, more] = getattr(self, "word" if kind == "name" else kind)(text, more)
+        return self.known[kind, text, more]
+
+    def assigned(self, values: set[tuple[str, str]]) -> dict[tuple[str, str], str]:
+        """The surrogates of a document's values by kind and value, none of which equals an original of its kind."""
+        out = {(kind, x): self.of(kind, x) for kind, x in sorted(values)}
+        clash = [(kind, x) for (kind, x), new in out.items() if (kind, new) in values]
+        used = {(kind, new) for (kind, _), new in out.items()} if clash else set()
+        for kind, x in clash:
+            for n in range(1, FURTHER):
+                new = self.of(kind, x, f"+{n}")
+                if (kind, new) not in values and (kind, new) not in used:
+                    out[kind, x] = new
+                    used.add((kind, new))
+                    break
+        return out
+
+
+def words_of(name: str) -> tuple[str, list[str]]:
+    """The form of address that a name begins with, if any, and its words."""
+    title = TITLE.match(name)
+    at = title.end() if title else 0
+    return name[:at], name[at:].split(" ")
 
 
 def check_digit(digits: list[int]) -> int:
@@ -151,6 +190,20 @@ def detect(text: str) -> list[tuple[int, int, str]]:
         found += [(*m.span(), "card") for m in CARD.finditer(text)]
         found += [(*m.span(), "phone") for m in PHONE.finditer(text)]
     found += [(*m.span(), "name") for m in NAME.finditer(text)]
+    out = apart(found)
+    met = {w for s, e, kind in out if kind == "name" for w in words_of(text[s:e])[1]}
+    if met:
+        again = re.compile(rf"(?<![\w’'-])(?:{'|'.join(map(re.escape, sorted(met, key=len, reverse=True)))})(?![\w-]|[’']\w\w)")
+        at, more = 0, []
+        for s, e, _ in [*out, (len(text), len(text), "")]:
+            more += [(*m.span(), "name") for m in again.finditer(text, at, s)]
+            at = e
+        out = sorted(out + more)
+    return out
+
+
+def apart(found: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """Spans in order without overlaps: the earlier, then the longer stays."""
     out, at = [], 0
     for s, e, kind in sorted(found, key=lambda x: (x[0], -x[1], KINDS.index(x[2]))):
         if s >= at:
@@ -163,8 +216,14 @@ def replace(text: str, surrogates: Surrogates) -> tuple[str, list[tuple[str, str
     """text with surrogates, and (kind, original, surrogate) of each entity."""
     parts, made, at = [], [], 0
     owner: dict[tuple[str, str], str] = {}
-    for s, e, kind in detect(text):
-        new = surrogates.of(kind, text[s:e])
+    found = detect(text)
+    given = surrogates.assigned({(kind, w) for s, e, kind in found for w in (words_of(text[s:e])[1] if kind == "name" else [text[s:e]])})
+    for s, e, kind in found:
+        if kind == "name":
+            title, words = words_of(text[s:e])
+            new = title + " ".join(given[kind, w] for w in words)
+        else:
+            new = given[kind, text[s:e]]
         if owner.setdefault((kind, new), text[s:e]) != text[s:e]:
             raise ValueError(f"two values of kind {kind} have one surrogate")
         parts += [text[at:s], new]

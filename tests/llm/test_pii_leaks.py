@@ -149,3 +149,27 @@ PIECES = TWO.split()
 def test_matches_in_pieces(item, text, found):
     got = leaks.Index([(1, item)]).matches(leaks.Words()(f"{FAR}{text}. {FAR}"))
     assert [m[0] for m in got if m[-1]] == [1] * found
+
+
+def test_no_value_stands_for_itself():
+    for sizes in ([20, 6], [3, 4, 2], [10, 10], [7], [2]):
+        for v in itertools.product(*map(range, sizes)):
+            assert tuple(KEY.permuted(list(v), sizes, "t")) != v
+    for name in map("".join, itertools.product("BCDFGHJKLMNPQRSTVWXZ", "aeiouy", "mnt")):
+        assert KEY.word(name) != name
+    assert KEY.word("Øe") != "Øe"
+
+
+def test_no_surrogate_is_another_original_of_the_document():
+    value = KEY.word("Tom")
+    text = f"Mr. Tom met Mr. {value} and Mr. Bob"
+    new, made = pii.replace(text, KEY)
+    assert not {"Tom", value, "Bob"} & set(new.replace(".", "").split())
+    assert len({s for _, _, s in made}) == 3
+
+
+def test_later_mentions_of_a_name_are_replaced():
+    new, made = pii.replace("Dr. Anna Lopez came. Then Lopez spoke, Anna's friend Lopezia left and mail to Lopez@mail1.example.com went", KEY)
+    name = made[0][2].removeprefix("Dr. ").split()
+    assert f"Then {name[1]} spoke, {name[0]}'s friend Lopezia" in new and "Lopez@" not in new
+    assert [k for k, _, _ in made] == ["name", "name", "name", "email"]
