@@ -1,142 +1,265 @@
 """Sharding by best-fit-decreasing bin packing of indivisible groups.
 
-Groups (rows of equal text) sorted by size enter the bin with the tightest remaining capacity, found in a balanced
-search structure. Groups above total / PARTS bytes number at most PARTS and are packed one by one; all smaller groups
-are first dealt into PARTS // 4 crumbs by hash, and crumbs are packed as units. So the driver holds at most
-PARTS + PARTS // 4 sizes, whatever the input, and a bin misses its fair share by less than one crumb, unless a single
-group is larger than a bin.
+Groups (rows of equal text) sorted by size enter the bin with the tightest remaining capacity, which a balanced tree of
+the remaining capacities finds. Groups of one size are interchangeable, so the driver packs sizes with their counts, all
+groups of a size at once: as many as fit into the tightest bin, then into the next. Sizes above 2^DIGITS are rounded up
+to DIGITS significant bits, so there are at most about 2^(DIGITS - 1) of them for each doubling of the size, and the
+driver's state is bounded whatever the number of groups; below that the result is that of packing group by group. Groups
+are then numbered within their size, in cells dealt by hash, and join the run of bins that their number falls into.
+
+With a capacity the number of shards is as small as best-fit-decreasing makes it, and only a group above the capacity
+makes a larger shard, of its own. With a number of shards the capacity is the smallest at which they suffice, groups
+larger than a fair share get a shard each, and shards are levelled afterwards.
 
 Defined results: a null text has size 1 and is a group apart from the empty text, which also has size 1; repeated rows
-are one group; an empty table gives no rows; only the id and text columns are read.
+are one group; of groups of one size those of smaller cell and digest come first, of bins with equal room the one opened
+last; a very long text is no special case; an empty table gives no rows; only the id and text columns are read.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left, insort
+from collections import defaultdict
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Bound of the sizes that reach the driver.
-PARTS = 1 << 14
-#: Rows of a shard that are numbered in one task, about.
+from lamina.llm.common import Scratch
+
+#: Significant bits of a size.
+DIGITS = 17
+#: Groups that hold more than this share of the rows or bytes are joined by broadcast: at most twice as many.
+PARTS = 1 << 12
+#: Runs of bins that are broadcast; more of them are joined by shuffle.
+MOST_RUNS = 1 << 20
+#: Rows of a shard, or groups of a size, that are numbered in one task, about.
 ROWS_A_CELL = 50_000
 
+Sizes = list[tuple[int, int]]
 
-def best_fit_decreasing(sizes: list[tuple[int, int]], capacity: int) -> tuple[list[int], list[int]]:
-    """The bin of each (size, key), given in any order, and the bins' loads; bins open as needed. An item above the
-    capacity gets a bin of its own."""
-    free: list[tuple[int, int]] = []  # (remaining capacity, bin), sorted
-    place, loads = [0] * len(sizes), []
-    for i in sorted(range(len(sizes)), key=lambda i: (-sizes[i][0], sizes[i][1])):
-        s = sizes[i][0]
-        k = bisect_left(free, (s, -1))
-        if k < len(free):
-            room, b = free.pop(k)
-        else:
-            room, b = capacity, len(loads)
-            loads.append(0)
-        place[i] = b
-        loads[b] += s
-        if room - s > 0:
-            insort(free, (room - s, b))
-    return place, loads
-
-
-def fill(sizes: list[tuple[int, int]], bins: int) -> list[int]:
-    """The bin of each (size, key) of at most so many bins, whose capacity is the smallest found by bisection at which
-    best-fit-decreasing needs no more bins."""
-    if not sizes:
-        return []
-    total, most = sum(s for s, _ in sizes), max(s for s, _ in sizes)
-    low = max(-(-total // bins), most)
-    high = low + most
-    best = None
-    while best is None or high - low > max(1, low // 100_000):
-        mid = (low + high) // 2 if best is not None else high
-        place, loads = best_fit_decreasing(sizes, mid)
-        if len(loads) <= bins:
-            best, high = place, mid
-            if mid == low:
-                break
-        elif best is None:
-            high += most
+
+class Tree:
+    """A balanced search tree of numbers: a treap whose priorities are hashes of the numbers."""
+
+    def __init__(self):
+        self.root: list | None = None  # number, priority, left, right
+
+    @staticmethod
+    def _split(t: list | None, x: int) -> tuple[list | None, list | None]:
+        if t is None:
+            return None, None
+        if t[0] < x:
+            t[3], high = Tree._split(t[3], x)
+            return t, high
+        low, t[2] = Tree._split(t[2], x)
+        return low, t
+
+    @staticmethod
+    def _joined(a: list | None, b: list | None) -> list | None:
+        if a is None or b is None:
+            return a or b
+        if a[1] > b[1]:
+            a[3] = Tree._joined(a[3], b)
+            return a
+        b[2] = Tree._joined(a, b[2])
+        return b
+
+    def add(self, x: int) -> None:
+        low, high = self._split(self.root, x)
+        priority = (x + 1) * 0x9E3779B97F4A7C15 % (1 << 64) * 0xBF58476D1CE4E5B9 % (1 << 64)
+        self.root = self._joined(self._joined(low, [x, priority, None, None]), high)
+
+    def remove(self, x: int) -> None:
+        low, rest = self._split(self.root, x)
+        _, high = self._split(rest, x + 1)
+        self.root = self._joined(low, high)
+
+    def least_from(self, x: int) -> int | None:
+        t, best = self.root, None
+        while t is not None:
+            if t[0] >= x:
+                best, t = t[0], t[2]
+            else:
+                t = t[3]
+        return best
+
+
+class Rooms:
+    """Runs of bins (first, number) by what room they have left."""
+
+    def __init__(self):
+        self.tree, self.runs = Tree(), {}
+
+    def put(self, room: int, first: int, n: int) -> None:
+        if room not in self.runs:
+            self.runs[room] = []
+            self.tree.add(room)
+        self.runs[room].append((first, n))
+
+    def take(self, size: int) -> tuple[int, int, int] | None:
+        """Room, first and number of the tightest bins that hold size."""
+        room = self.tree.least_from(size)
+        if room is None:
+            return None
+        first, n = self.runs[room].pop()
+        if not self.runs[room]:
+            del self.runs[room]
+            self.tree.remove(room)
+        return room, first, n
+
+
+def best_fit_decreasing(sizes: Sizes, capacity: int) -> tuple[list[tuple[int, int, int, int, int]], int]:
+    """Packs (size, number of groups), sizes descending. Returns runs (place in sizes, from number, to number, first bin,
+    groups for each bin) and the number of bins. A group above the capacity gets a bin of its own."""
+    rooms, n_bins, out = Rooms(), 0, []
+    for i, (s, count) in enumerate(sizes):
+        at = 0
+        while at < count:
+            room, first, n = rooms.take(s) or (max(capacity, s), n_bins, 0)
+            each = room // s
+            if not n:
+                n = -(-(count - at) // each)
+                n_bins += n
+            full = min(n, (count - at) // each)
+            if full:
+                out.append((i, at, at + full * each, first, each))
+                at += full * each
+                if room - each * s:
+                    rooms.put(room - each * s, first, full)
+            rest = count - at if full < n else 0
+            if rest:
+                out.append((i, at, count, first + full, rest))
+                at = count
+                rooms.put(room - rest * s, first + full, 1)
+            if full + bool(rest) < n:
+                rooms.put(room, first + full + bool(rest), n - full - bool(rest))
+    return out, n_bins
+
+
+def fill(sizes: Sizes, bins: int) -> list[dict[int, int]]:
+    """For each of so many bins the number of groups by place in sizes: that of best-fit-decreasing at the smallest
+    capacity, found by bisection, at which it needs no more bins; groups above a fair share alone, the rest levelled."""
+    alone, left, total = [], [n for _, n in sizes], sum(s * n for s, n in sizes)
+    for i, (s, n) in enumerate(sizes):
+        while left[i] and len(alone) < bins - 1 and s * (bins - len(alone)) > total:
+            alone.append({i: 1})
+            left[i] -= 1
+            total -= s
+        if left[i]:
+            break
+    at = [i for i, n in enumerate(left) if n]
+    rest, bins = [(sizes[i][0], left[i]) for i in at], bins - len(alone)
+    if not rest:
+        return alone
+    low = max(-(-total // bins), rest[0][0])
+    high, step = low, max(1, low // 100_000)
+    while (best := best_fit_decreasing(rest, high))[1] > bins:
+        low, high = high + 1, high + step
+        step *= 2
+    while high - low > low // 100_000:
+        mid = (low + high) // 2
+        found = best_fit_decreasing(rest, mid)
+        if found[1] <= bins:
+            best, high = found, mid
         else:
             low = mid + 1
-    return best
-
-
-def level(sizes: list[tuple[int, int]], place: list[int], bins: int) -> list[int]:
-    """Moves units out of full bins into the least full ones while that narrows the gap between them."""
-    loads, inside = [0] * bins, [[] for _ in range(bins)]
-    for i, b in enumerate(place):
-        loads[b] += sizes[i][0]
-        insort(inside[b], (*sizes[i], i))
-    for _ in range(4 * len(sizes)):
-        hi, lo = max(range(bins), key=loads.__getitem__), min(range(bins), key=loads.__getitem__)
-        k = bisect_left(inside[hi], ((loads[hi] - loads[lo]) // 2 + 1, -1, -1)) - 1
-        if k < 0:
-            movable = [b for b in range(bins) if b != lo and inside[b] and inside[b][0][0] * 2 <= loads[b] - loads[lo]]
-            if not movable:
+    held = [defaultdict(int) for _ in range(bins)]
+    for i, lo, hi, first, each in best[0]:
+        for b in range((hi - lo) // each):
+            held[first + b][at[i]] += each
+    level(sizes, held)
+    return [dict(h) for h in held] + alone
+
+
+def level(sizes: Sizes, held: list[dict[int, int]]) -> None:
+    """Moves groups out of full bins into the emptiest while that narrows the gap between them."""
+    loads = [sum(sizes[i][0] * n for i, n in h.items()) for h in held]
+    order = [sorted(h, reverse=True) for h in held]  # by size ascending
+    size_of_place = lambda i: sizes[i][0]
+    while True:
+        lo = min(range(len(held)), key=loads.__getitem__)
+        for hi in sorted(range(len(held)), key=lambda b: -loads[b]):
+            gap = loads[hi] - loads[lo]
+            k = bisect_left(order[hi], gap, key=size_of_place) - 1
+            if k >= 0:
                 break
-            hi = max(movable, key=loads.__getitem__)
-            k = bisect_left(inside[hi], ((loads[hi] - loads[lo]) // 2 + 1, -1, -1)) - 1
-        unit = inside[hi].pop(k)
-        if unit[0] == 0:
-            break
-        insort(inside[lo], unit)
-        loads[hi] -= unit[0]
-        loads[lo] += unit[0]
-        place[unit[2]] = lo
-    return place
+        else:
+            return
+        i = order[hi][k]
+        s = sizes[i][0]
+        n = max(1, min(held[hi][i], gap // 2 // s))
+        held[hi][i] -= n
+        if not held[hi][i]:
+            del held[hi][i]
+            order[hi].pop(k)
+        if i not in held[lo]:
+            held[lo][i] = 0
+            insort(order[lo], i, key=size_of_place)
+        held[lo][i] += n
+        loads[hi] -= n * s
+        loads[lo] += n * s
 
 
 def size_of(text: Column) -> Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 1
 
 
-def shard(docs: DataFrame, bins: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id, size, crc32 of the text, shard and its gapless place there."""
+def rounded(size: Column) -> Column:
+    """size, up to DIGITS significant bits."""
+    unit = F.pow(F.lit(2), F.greatest(F.lit(0), F.length(F.bin(size - 1)) - DIGITS)).cast("long")
+    over = size + unit - 1
+    return over - F.pmod(over, unit)
+
+
+def numbered(rows: DataFrame, by: str, order: list[str], n_rows: int, name: str) -> DataFrame:
+    """Adds the gapless place of every row among those with the same value of by. Rows are numbered in cells dealt by a
+    hash of order, so that no value is a burden to one task."""
+    cell = F.pmod(F.xxhash64(*order), F.lit(max(1, -(-n_rows // ROWS_A_CELL)))).cast("int")
+    dealt = rows.withColumn("cell", cell)
+    counts = dealt.groupBy(by, "cell").agg(F.count("*").alias("n"))
+    before = Window.partitionBy(by).orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(by, "cell", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    within = Window.partitionBy(by, "cell").orderBy(*order)
+    at = dealt.withColumn("at", F.row_number().over(within) - 1)
+    return at.join(starts, [by, "cell"]).withColumn(name, (F.col("start") + F.col("at")).cast("long")).drop("cell", "at", "start")
+
+
+def shard(docs: DataFrame, bins: int | None = 16, capacity: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row: id, size, crc32 of the text, shard and its gapless place there. Either bins or capacity is given; the
+    other one is None or, for bins, ignored."""
     spark: SparkSession = docs.sparkSession
-    text = F.col(text_col)
-    rows = docs.select(
-        F.col(id_col).alias("id"),
-        size_of(text).alias("size"),
-        F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"),
-        F.coalesce(F.md5(text), F.lit("null")).alias("group"),
-    )
-    crumbs = PARTS // 4
-    crumb = F.pmod(F.xxhash64("group"), F.lit(crumbs))
-    groups = rows.groupBy("group").agg(F.sum("size").alias("size"))
-    total = rows.agg(F.sum("size")).first()[0] or 0
-    large = F.col("size") * PARTS >= total
-    units = groups.groupBy(F.when(large, F.col("group")).alias("group"), F.when(~large, crumb).alias("crumb")).agg(F.sum("size").alias("size")).collect()
-    sizes = [(u["size"], k) for k, u in enumerate(sorted(units, key=lambda u: (u["group"] or "", u["crumb"] or 0)))]
-    units = sorted(units, key=lambda u: (u["group"] or "", u["crumb"] or 0))
-    alone = {k for s, k in sizes if s * bins > total}  # larger than a fair share: such a group gets a bin to itself first
-    while alone and (more := {k for s, k in sizes if s * (bins - len(alone)) > total - sum(x for x, j in sizes if j in alone)} | alone) != alone and len(more) < bins:
-        alone = more
-    alone = set(sorted(alone)[: bins - 1])
-    rest = [x for x in sizes if x[1] not in alone]
-    place = level(rest, fill(rest, bins - len(alone)), bins - len(alone)) if rest else []
-    where = dict(zip([k for _, k in rest], place, strict=True)) | {k: bins - len(alone) + i for i, k in enumerate(sorted(alone))}
-    of_group = spark.createDataFrame([(u["group"], where[k]) for k, u in enumerate(units) if u["group"]], "`group` string, large_shard int")
-    of_crumb = spark.createDataFrame([(u["crumb"], where[k]) for k, u in enumerate(units) if not u["group"]], "crumb long, crumb_shard int")
-    placed = (
-        rows.withColumn("crumb", crumb)
-        .join(F.broadcast(of_group), "group", "left")  # both tables have PARTS rows at most
-        .join(F.broadcast(of_crumb), "crumb", "left")
-        .select("id", "size", "text_crc32", F.coalesce("large_shard", "crumb_shard").alias("shard"))
-    )
-    # Rows are numbered in cells of a shard dealt by a hash of the whole row, so that neither a hot group nor a shard is one task.
-    n_cells = max(1, -(-docs.count() // ROWS_A_CELL))
-    cell = F.pmod(F.xxhash64("id", "text_crc32"), F.lit(n_cells)).cast("int")
-    placed = placed.withColumn("cell", cell)
-    counts = placed.groupBy("shard", "cell").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("shard").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("shard", "cell", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    within = Window.partitionBy("shard", "cell").orderBy("id", "text_crc32", "size")
-    numbered = placed.withColumn("at", F.row_number().over(within) - 1)
-    return numbered.join(starts, ["shard", "cell"]).select(
-        F.col("id").alias(id_col), "size", "text_crc32", "shard", (F.col("start") + F.col("at")).cast("long").alias("slot")
+    scratch, text = Scratch(spark), F.col(text_col)
+    rows = scratch.save(
+        docs.select(
+            F.col(id_col).alias("id"),
+            size_of(text).alias("size"),
+            F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"),
+            F.coalesce(F.unhex(F.md5(text)), F.lit(b"null")).alias("group"),
+        )
     )
+    groups = scratch.save(rows.groupBy("group").agg(F.sum("size").alias("group_size"), F.count("*").alias("n_rows")).withColumn("class", rounded(F.col("group_size"))))
+    n_rows, total, n_groups = groups.agg(F.sum("n_rows"), F.sum("group_size"), F.count("*")).first()
+    found = groups.groupBy("class").agg(F.count("*").alias("n")).orderBy(F.desc("class")).toArrow()
+    sizes: Sizes = list(zip(found["class"].to_pylist(), found["n"].to_pylist(), strict=True))
+    if capacity is not None:
+        runs = [(sizes[i][0], lo, hi, first, each) for i, lo, hi, first, each in best_fit_decreasing(sizes, capacity)[0]]
+    else:
+        runs, used = [], [0] * len(sizes)
+        for b, held in enumerate(fill(sizes, bins)):
+            for i, n in held.items():
+                runs.append((sizes[i][0], used[i], used[i] + n, b, n))
+                used[i] += n
+    names = ["class", "low", "high", "first", "each"]
+    columns = np.array(runs, np.int64).reshape(-1, 5).T
+    runs = spark.createDataFrame(pa.table({c: pa.array(x) for c, x in zip(names, columns, strict=True)}))
+    small = F.broadcast if columns.shape[1] <= MOST_RUNS else lambda x: x
+    ranked = numbered(groups, "class", ["group"], n_groups or 0, "rank")
+    of_group = ranked.join(small(runs), "class").filter("rank >= low and rank < high").select("group", "group_size", "n_rows", F.expr("cast(first + (rank - low) div each as int)").alias("shard"))
+    of_group = scratch.save(of_group)
+    hot = (F.col("n_rows") * PARTS >= (n_rows or 0)) | (F.col("group_size") * PARTS >= (total or 0))
+    hot_groups = of_group.filter(hot).select("group", "shard")  # at most 2 * PARTS
+    placed = rows.join(F.broadcast(hot_groups), "group").unionByName(rows.join(F.broadcast(hot_groups), "group", "left_anti").join(of_group.filter(~hot).select("group", "shard"), "group"))
+    out = numbered(placed.drop("group"), "shard", ["id", "text_crc32", "size"], n_rows or 0, "slot")
+    return out.select(F.col("id").alias(id_col), "size", "text_crc32", "shard", "slot")

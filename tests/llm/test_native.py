@@ -1,6 +1,7 @@
 """Secret scan, URL filter, quality rules and sharding against plain Python."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter
@@ -173,9 +174,74 @@ def test_shards_small(spark, docs):
     assert rest[-1] <= 1.2 * rest[0]
 
 
-def test_best_fit_decreasing():
-    place, loads = shards.best_fit_decreasing([(s, i) for i, s in enumerate([6, 5, 5, 4, 3, 3, 2, 2])], 10)
-    assert sorted(loads) == [10, 10, 10] and len(place) == 8
+def plain_best_fit_decreasing(sizes, capacity):
+    """Loads of the bins, group by group."""
+    room = []
+    for s in sorted(sizes, reverse=True):
+        fits = [r for r in room if r >= s]
+        if fits:
+            room.remove(min(fits))
+            room.append(min(fits) - s)
+        else:
+            room.append(max(capacity, s) - s)
+    return sorted(max(capacity, 0) - r for r in room)
+
+
+def loads_of(classes, runs, n_bins):
+    loads = [0] * n_bins
+    covered = Counter()
+    for i, lo, hi, first, each in runs:
+        assert (hi - lo) % each == 0 and lo == covered[i]
+        covered[i] = hi
+        for b in range((hi - lo) // each):
+            loads[first + b] += each * classes[i][0]
+    assert covered == Counter({i: n for i, (_, n) in enumerate(classes)})
+    return sorted(loads)
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_best_fit_decreasing_by_sizes(seed):
+    r = random.Random(seed)
+    sizes = [r.randint(1, r.choice([5, 40, 300])) for _ in range(r.randint(0, 400))]
+    capacity = r.randint(max(sizes, default=1), 600)
+    classes = sorted(Counter(sizes).items(), reverse=True)
+    assert loads_of(classes, *shards.best_fit_decreasing(classes, capacity)) == plain_best_fit_decreasing(sizes, capacity)
+
+
+def test_best_fit_decreasing_of_the_documents(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    groups = Counter()
+    for r in df.select("text").collect():
+        groups[r["text"] is None, r["text"]] += len((r["text"] or "").encode()) + 1
+    sizes = list(groups.values())
+    capacity = 2 * max(sizes)
+    rows = shards.shard(df, None, capacity).collect()
+    loads = Counter()
+    for r in rows:
+        loads[r["shard"]] += r["size"]
+    assert max(sizes) < 1 << shards.DIGITS
+    assert sorted(loads.values()) == plain_best_fit_decreasing(sizes, capacity)
+
+
+def test_tree_of_rooms():
+    r, tree, held = random.Random(1), shards.Tree(), set()
+    for _ in range(3000):
+        x = r.randint(0, 500)
+        if x in held:
+            tree.remove(x)
+            held.remove(x)
+        else:
+            tree.add(x)
+            held.add(x)
+        y = r.randint(0, 520)
+        assert tree.least_from(y) == min((z for z in held if z >= y), default=None)
+
+
+def test_large_sizes_are_rounded_up(spark):
+    made = [1, 2, 131071, 131072, 131073, 10**9 + 1, 1 << 40]
+    df = spark.createDataFrame([(x,) for x in made], "x long").select("x", shards.rounded(F.col("x")).alias("y"))
+    for r in df.collect():
+        assert r["x"] <= r["y"] <= r["x"] * (1 + 2.0 ** -(shards.DIGITS - 1)) and (r["x"] > 1 << shards.DIGITS or r["x"] == r["y"])
 
 
 @pytest.mark.parametrize(
