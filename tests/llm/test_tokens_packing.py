@@ -1,12 +1,15 @@
 """Token attribution and packing against direct encodings."""
 
+import functools
+import re
 import zlib
 from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
-from hypothesis import given
+from hypothesis import given, settings
 from hypothesis import strategies as st
 from lamina.llm import packing, queries, tokens
 
@@ -105,10 +108,69 @@ def test_packing_table(spark, sf):
     assert n <= least + 1
 
 
-def test_evolution_beats_best_fit():
-    r = np.random.default_rng(7)
-    sizes = -np.sort(-r.integers(300, 900, 400))
-    e = packing.Evolution(sizes, 2048, 3)
-    first, best = e.decreasing(), e.run()
-    assert e.score(best) >= e.score(first)
-    assert (np.bincount(best, sizes) <= 2048).all() and (np.bincount(best) > 0).all()
+def test_evolution_saves_a_bin():
+    r = np.random.default_rng(5)
+    saved = 0
+    for _ in range(6):
+        cuts = np.sort(r.integers(400, 1248, (60, 1)), axis=1)
+        half = r.integers(300, 2048 - cuts - 300)
+        sizes = -np.sort(-np.concatenate([cuts, half, 2048 - cuts - half], axis=1).ravel())  # 60 bins would do
+        e = packing.Evolution(sizes, 2048, 3)
+        first = e.decreasing()
+        best = e.generations(e.population(first, 0), 300)[0]
+        assert e.score(best) >= e.score(first)
+        assert (np.bincount(best, sizes) <= 2048).all() and (np.bincount(best) > 0).all()
+        saved += first.max() - best.max()
+    assert saved > 0
+
+
+def test_islands_exchange_their_best(spark, monkeypatch):
+    """Pieces of which best-fit-decreasing leaves bins above the bound, evolved as rows of islands."""
+    r = np.random.default_rng(5)
+    sizes = r.integers(520, 900, 900)
+    rows = spark.createDataFrame([(k % 3, k, int(s)) for k, s in enumerate(sizes)], "cell long, uid long, length long")
+    monkeypatch.setattr(packing, "EPOCHS", 3)
+    got = packing._pack_cells(rows, 2048, 1, packing.Scratch(spark)).collect()
+    assert sorted((x["uid"], x["length"]) for x in got) == sorted(enumerate(sizes.tolist()))
+    fill = defaultdict(int)
+    for x in got:
+        assert x["cell"] == x["uid"] % 3
+        fill[x["cell"], x["bin"]] += x["length"]
+    assert all(x["fill"] == fill[x["cell"], x["bin"]] <= 2048 for x in got)
+    plain = [packing.Evolution(-np.sort(-sizes[c::3]), 2048, 0) for c in range(3)]
+    assert len(fill) <= sum(e.decreasing().max() + 1 for e in plain) and any(e.decreasing().max() + 1 > e.least for e in plain)
+
+
+CHARS = st.sampled_from([*"iIsSt1.,!|'<>%$#-x\u0130\u00df\u0307\u0338\u03a3\u03c3\u01c5\u1112\u1161\u00bd\u02bc \n\t\x85\xa0\x1f", "<|endoftext|>", "\u0130.", "I\u0307."])
+
+
+@settings(deadline=None)
+@given(st.lists(st.lists(CHARS, max_size=12).map("".join), min_size=1, max_size=30))
+def test_ids_are_the_tokenizers(texts):
+    from tokenizers import Tokenizer
+
+    tok = kept_tokenizer(Tokenizer)
+    got = packing.Encoder.shared(WORDS)(pa.array(texts))
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+@functools.cache
+def kept_tokenizer(kind):
+    return kind.from_file(WORDS)
+
+
+@settings(deadline=None)
+@given(st.lists(st.sampled_from([" ", "\n", "\t", "\xa0", "\x1c", "\x85", "\r", "a", "1", "'s", "!", "\u3000"]), max_size=30).map("".join))
+def test_long_runs_are_split_alike(text):
+    enc = tokens.ByteTokens.shared(BYTES, public_tokenizers.PATTERN)
+    before, tokens.LONG_RUN = tokens.LONG_RUN, re.compile("")
+    try:
+        assert enc.ids(text) == enc.encoding.encode_ordinary(text)
+    finally:
+        tokens.LONG_RUN = before
+
+
+def test_very_long_runs():
+    enc = tokens.ByteTokens.shared(BYTES, public_tokenizers.PATTERN)
+    for text in (" " * 1_000_000, "\n " * 400_000 + "x", "a" + "\t" * 900_000 + " b"):
+        assert enc.ends(text)[-1] == len(text)
