@@ -6,22 +6,26 @@ the section that holds most of its bytes (the earlier of equals), by "start" or
 last byte. So the counts of all sections, with the rest outside of them, add up to the text's tokens.
 
 Defined results: a null or empty text has no sections and so no row in count_sections, and 0 tokens in count_documents;
-sections without a token have 0; repeated rows are counted each on its own; only the id and text columns are read.
+sections without a token have 0; repeated rows are counted each on its own; only the id and text columns are read. A
+very long text is encoded whole, in the memory of its task, also if it is one run of white space.
 """
 
 from __future__ import annotations
 
 import base64
+import functools
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lamina.llm.common import attach, kept
 
 RULES = ("majority", "start", "end")
+LONG_RUN = regex.compile(r"\s{5000}")
 
 
 class ByteTokens:
@@ -32,6 +36,7 @@ class ByteTokens:
 
         with open(path, "rb") as f:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
+        self.pattern = regex.compile(pattern)
         self.encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.size = np.zeros(max(ranks.values()) + 1, np.int64)
         self.size[list(ranks.values())] = [len(t) for t in ranks]
@@ -40,9 +45,17 @@ class ByteTokens:
     def shared(cls, path: str, pattern: str) -> ByteTokens:
         return kept(("byte tokens", path, pattern), lambda: cls(path, pattern))
 
+    def ids(self, text: str) -> list[int]:
+        """The encoder's own splitting keeps a stack of a white-space run's length, so texts with very long runs are
+        split here by the same pattern."""
+        if not LONG_RUN.search(text):
+            return self.encoding.encode_ordinary(text)
+        single = functools.lru_cache(1 << 16)(self.encoding._encode_single_piece)
+        return [k for m in self.pattern.finditer(text) for k in single(m[0].encode())]
+
     def ends(self, text: str) -> np.ndarray:
         """Byte offsets at which tokens end."""
-        ids = self.encoding.encode_ordinary(text)
+        ids = self.ids(text)
         return np.cumsum(self.size[np.fromiter(ids, np.int64, len(ids))])
 
 
