@@ -27,6 +27,22 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def fresh(df: DataFrame, *wanted: str) -> list[str]:
+    """Names that none of df's columns has."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def column(name: str) -> Column:
+    """The column of that very name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def attach(spark: SparkSession) -> None:
     """Lets Python workers import this package from where the driver has it. On a cluster whose nodes lack that path,
     ship the package with --py-files."""
@@ -91,5 +107,5 @@ def _clean() -> None:
     for spark, path in Scratch._made:
         try:
             _delete(spark, path)
-        except Exception:  # noqa: BLE001 - the session has ended; the folder's owner clears it
-            return
+        except Exception:  # noqa: BLE001, PERF203 - that session has ended; the folder's owner clears it
+            continue

@@ -60,22 +60,23 @@ select d.doc_id, coalesce(n.n, 0) as n_shingles, component_id, coalesce(n_equal,
 def _found(pattern: str, rank: int, keep: str = "true") -> str:
     """Rows of start, rank and end of the matches of a pattern, by the lengths of what lies between and of the matches."""
     p = quoted(pattern)
-    return f"""select rid, pos + length(piece) as s, {rank} as k, pos + length(piece) + length(hit) as e, hit from (
-select rid, piece, hit, coalesce(sum(length(piece) + length(hit)) over (partition by rid order by i rows between unbounded preceding and 1 preceding), 0) as pos
-from (select rid, unnest(range(1, len(hits) + 1)) as i, unnest(hits) as hit, unnest(pieces[1:len(hits)]) as piece from (select rid, regexp_extract_all(text, {p}) as hits, string_split_regex(text, {p}) as pieces from d where regexp_matches(text, {p})))) where {keep}"""
+    return f"""select rid, s, k, e, hit from (select rid, text, pos + length(piece) as s, {rank} as k, pos + length(piece) + length(hit) as e, hit from (
+select rid, text, piece, hit, coalesce(sum(length(piece) + length(hit)) over (partition by rid order by i rows between unbounded preceding and 1 preceding), 0) as pos
+from (select rid, text, unnest(range(1, len(hits) + 1)) as i, unnest(hits) as hit, unnest(pieces[1:len(hits)]) as piece from (select rid, text, regexp_extract_all(text, {p}) as hits, string_split_regex(text, {p}) as pieces from d where regexp_matches(text, {p}))))) where {keep}"""
 
 
-_RUN = "[A-Za-z0-9+/=_-]+"
-_KEY = "regexp_full_match(hit, '[A-Za-z0-9+/]{32,64}={0,2}') and regexp_matches(hit, '^[A-Za-z+/]{0,39}[0-9]') and regexp_matches(hit, '^[a-z0-9+/]{0,39}[A-Z]')"
+_START = r"\b"
+_RUN = "[A-Za-z0-9+/_-]+=*"
+_KEY = "regexp_full_match(hit, '[A-Za-z0-9+/_-]{32,}={0,2}') and regexp_matches(hit, '[0-9]') and regexp_matches(hit, '[A-Z]') and not regexp_matches(substr(text, (e + 1)::bigint, 1), '[A-Za-z0-9+/_-]')"
 _NEAR = f"x.rid = y.rid and x.s - y.e <= {secrets.SCOPE} and y.s - x.e <= {secrets.SCOPE}"
 _NAMES = " ".join(f"when {k} then {quoted(n)}" for k, n in enumerate(secrets.KINDS))
 
 OP2 = f"""
 with d as (select row_number() over () as rid, doc_id, coalesce(text, '') as text from documents),
 base as ({_found(secrets.ASSIGN, 0, f"length(regexp_extract(hit, {quoted(secrets.ASSIGN)}, 1)) >= 6")} union all {_found(secrets.ACCESS, 1, "length(hit) >= 20")} union all {_found(secrets.HEX, 2)}),
-ids as (select * from ({_found(secrets.WEAK_ID, 3)}) x where not exists (select 1 from base b where b.rid = x.rid and x.s < b.e and b.s < x.e)),
+ids as (select * from ({_found(secrets.WEAK_ID.replace(secrets.BOUNDARY, _START), 3)}) x where not exists (select 1 from base b where b.rid = x.rid and x.s < b.e and b.s < x.e)),
 keys as (select * from ({_found(_RUN, 4, _KEY)}) x where not exists (select 1 from base b where b.rid = x.rid and x.s < b.e and b.s < x.e)),
-ends as ({_found(secrets.ENDPOINT, 5)}),
+ends as ({_found(secrets.ENDPOINT.replace(secrets.BOUNDARY, _START), 5)}),
 near_ids as (select * from ids x where exists (select 1 from (select * from base where k <> 1 union all select * from keys) y where {_NEAR})),
 near_keys as (select * from keys x where exists (select 1 from (select * from base where k = 1 union all select * from ids) y where {_NEAR})),
 linked_keys as (select * from keys x where exists (select 1 from ids y where {_NEAR})),
