@@ -59,26 +59,22 @@ def enh_header(word: Column) -> Column:
 
 
 def varint(data: Column) -> Column:
-    """A variable-length integer from its bytes (at most five); null where its end is missing or it exceeds 32 bits."""
+    """A variable-length integer from its bytes (at most five); null where its end is missing or it exceeds 32 bits.
+    The bytes are taken from one number, without lambdas, so that the expression compiles."""
     n = F.octet_length(data)
-    bytes_ = F.transform(F.sequence(F.lit(0), F.least(n, F.lit(5)) - 1), lambda i: byte_at(data, i))
-    more = F.aggregate(bytes_, F.struct(F.lit(0).cast("long").alias("v"), F.lit(0).alias("n"), F.lit(True).alias("more"), F.lit(False).alias("over")), _varint_step)
-    return F.when(n > 0, F.when(~more["more"] & ~more["over"], more["v"]))
-
-
-def _varint_step(acc: Column, b: Column) -> Column:
-    over = (acc["n"] == 4) & (b.bitwiseAND(0x70) != 0)
-    value = F.when(acc["more"], acc["v"] * 128 + b.bitwiseAND(127)).otherwise(acc["v"])
-    return F.struct(
-        value.alias("v"),
-        (acc["n"] + 1).alias("n"),
-        (acc["more"] & (b.bitwiseAND(128) != 0)).alias("more"),
-        (acc["over"] | (acc["more"] & over)).alias("over"),
-    )
+    word = F.conv(F.rpad(F.hex(F.substring(data, 1, 5)), 10, "0"), 16, 10).cast("long")
+    value, out = F.lit(0).cast("long"), F.when(F.lit(False), F.lit(None).cast("long"))
+    for i in range(5):
+        byte = F.shiftright(word, 8 * (4 - i)).bitwiseAND(255)
+        value = value * 128 + byte.bitwiseAND(127)
+        last = (byte < 128) & (n > i)
+        out = out.when(last & (byte < 16) if i == 4 else last, value).when(n <= i + 1, F.lit(None).cast("long"))
+    return out
 
 
 def ceil_div(a: Column, b: Column) -> Column:
-    return F.floor((a + b - 1) / b).cast("long")
+    """In whole numbers, exact up to 64 bits."""
+    return F.call_function("div", a + b - 1, b)
 
 
 def approx_equal(a: Column, b: Column, tolerance: float) -> Column:

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lamina.workers import attach
+
 
 def pair_by_pts(enh: DataFrame, base: DataFrame, on: list[str]) -> DataFrame:
     """All frames of both sides with status matched, base_only or enh_only."""
@@ -77,6 +79,8 @@ def replayed(enh: DataFrame, base: DataFrame, depth: int = 16) -> DataFrame:
     """Pairs that the strict merge makes: stream_id, enh_id, base_id. Both sides have stream_id, pts, id and, for enh,
     decode_index; one stream is replayed in one task."""
 
+    attach(enh.sparkSession)
+
     def run(key: tuple, e: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         e = e.sort_values("decode_index")
         stream = (key or (None,))[0]

@@ -14,6 +14,7 @@ from lamina import __version__
 from lamina.functions import bits, blocks, columns, enums
 from lamina.operators import buffering, cadence, framing, pairing, sizes
 from lamina.sources import readers, sinks
+from lamina.workers import attach
 
 LAYERS = "array<struct<plane:int,sublayer:string,coefficient_group:int,tile:int,rle_only_flag:boolean,size:long>>"
 BLOCKS = f"stream_id string, frame_index long, block_index int, type string, size_type string, size long, fields string, layers {LAYERS}, error string"
@@ -23,6 +24,8 @@ def frame_payloads(frames: DataFrame) -> DataFrame:
     """Adds to frames with frame_index: nal_type, raw_size and the split blocks. A frame without a stop byte has none
     and rbsp_ok false; what cannot be split has an error."""
 
+    attach(frames.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = pa.struct([("kind", pa.int32()), ("size_type", pa.int32()), ("body", pa.binary())])
         for b in batches:
@@ -69,6 +72,7 @@ def decode_blocks(frames: DataFrame, spec_tile_order: bool = False) -> DataFrame
     rows = rows.select("stream_id", "frame_index", "block_index", "kind", "size_type", "body", "is_idr", "dither", "global_body", "picture.body", F.col("picture.is_idr").alias("picture_is_idr"), F.col("picture.dither").alias("picture_dither")).toDF(
         "stream_id", "frame_index", "block_index", "kind", "size_type", "body", "is_idr", "dither", "global_body", "picture_body", "picture_is_idr", "picture_dither"
     )
+    attach(rows.sparkSession)
     decoded = rows.mapInArrow(partial(_decode, spec_tile_order=spec_tile_order), BLOCKS)
     return decoded.unionByName(failed)
 
@@ -120,8 +124,25 @@ def parse(frames: DataFrame, packets: DataFrame | None = None, base_frames: Data
     return ordered.withColumn("sizes", size)
 
 
-def summarise(parsed: DataFrame, decoded: DataFrame, packets: DataFrame | None, fps: float | None, frames: DataFrame) -> DataFrame:
-    """A row for each stream: counts, sizes, bitrates, and the cadence of its presentation times."""
+def limited(parsed: DataFrame, packets: DataFrame | None, limit: int) -> tuple[DataFrame, DataFrame | None]:
+    """What is read up to the last of the first frames: base frames and packets of later times are not."""
+    if limit <= 0:
+        return parsed, packets
+    last = parsed.filter("status <> 'base_only'").groupBy("stream_id").agg(F.max("pts").alias("last_pts"))
+    until = lambda df: df.join(last, "stream_id").filter(F.col("pts") <= F.col("last_pts")).drop("last_pts")
+    return until(parsed), None if packets is None else until(packets)
+
+
+def rates(packets: DataFrame | None, fps: float | None) -> DataFrame | None:
+    """stream_id and fps of the base stream by its commonest step, where no rate is given."""
+    if fps is not None or packets is None:
+        return None
+    return readers.streams(packets).filter("role = 'base'").groupBy("stream_id").agg(F.max("fps").alias("guessed_fps"))
+
+
+def summarise(parsed: DataFrame, decoded: DataFrame, packets: DataFrame | None, fps: float | None, frames: DataFrame, guessed: DataFrame | None = None) -> DataFrame:
+    """A row for each stream: counts, sizes, bitrates, and the cadence of its presentation times. The frame rate is the
+    given one, else what the container's times tell."""
     enh = parsed.filter("status <> 'base_only'")
     n_base = F.count_if(F.col("status") != "enh_only")
     totals = parsed.groupBy("stream_id").agg(F.count_if(F.col("status") != "base_only").alias("frame_count"), n_base.alias("base_count"), F.sum(F.octet_length("data").cast("long")).alias("layer_size"))
@@ -130,9 +151,11 @@ def summarise(parsed: DataFrame, decoded: DataFrame, packets: DataFrame | None,
     levels = sizes.sublayer_bytes(layers, ["stream_id"], "sublayer", "size")
     pts = cadence.validate(enh, ["stream_id"], ["frame_index"], "pts")
     t = totals.join(whole, "stream_id", "left").join(levels, "stream_id", "left").join(pts, "stream_id", "left")
-    rate = columns.normalised_fps(F.lit(fps).cast("double"))
+    if guessed is not None:
+        t = t.join(guessed, "stream_id", "left")
+    rate = columns.normalised_fps(F.lit(fps).cast("double") if guessed is None else F.col("guessed_fps"))
     out = sizes.summary(t, rate, F.coalesce("total_size", F.lit(0)), F.coalesce("layer_size", F.lit(0)), F.col("frame_count"), F.greatest("base_count", "frame_count"))
-    return out.withColumn("framerate", rate).withColumn("synthetic_base", F.col("base_count") == 0)
+    return out.withColumn("framerate", rate).drop("guessed_fps").withColumn("synthetic_base", F.col("base_count") == 0)
 
 
 def report(summary: DataFrame, parsed: DataFrame, decoded: DataFrame | None = None) -> DataFrame:
@@ -156,6 +179,32 @@ def report(summary: DataFrame, parsed: DataFrame, decoded: DataFrame | None = No
     return head.join(lists, "stream_id", "left").select("stream_id", whole(F.struct(version.alias("version"), "summary", "frames")).alias("report"))
 
 
+def summary_text(summary: DataFrame) -> DataFrame:
+    """The summary of each stream as lines of name and value; what is not known is N/A."""
+    said = lambda form, c: F.coalesce(F.format_string(form, c), F.lit("N/A"))
+    known = lambda c, x: F.when(F.col(c).isNotNull(), x)
+    has_base = F.col("base_size") > 0
+    size = lambda c: said("%.0f kb", known(c, F.col(c) / 1000.0))
+    bitrate = lambda c, also=F.lit(True): F.when(also & F.col(c).isNotNull(), F.format_string("%.0f kbps", F.col(c) / 1000.0)).otherwise("N/A")
+    when_base = lambda x: F.when(has_base, x).otherwise("N/A")
+    lines = {
+        "base_frame_count": when_base(F.col("base_count").cast("string")),
+        "base_layer_framerate": F.when(F.col("framerate").isNotNull(), F.format_string("%.5f fps", "framerate")).otherwise("N/A"),
+        "base_layer_bitrate": bitrate("base_bitrate", has_base),
+        "base_layer_size": when_base(size("base_size")),
+        "lcevc_frame_count": F.col("frame_count").cast("string"),
+        "lcevc_layer_size": size("layer_size"),
+        "  level_1_size": size("level_1_size"),
+        "  level_2_size": size("level_2_size"),
+        "  temporal_size": size("temporal_size"),
+        "lcevc_bitrate": bitrate("enh_bitrate"),
+        "lcevc_base_ratio": F.when(has_base & F.col("enh_base_ratio").isNotNull(), F.format_string("%.3f", "enh_base_ratio")).otherwise("N/A"),
+        "pts_consistency": F.when(F.coalesce("consistent", F.lit(False)), "OK").otherwise("FAILED"),
+        "pts_interval_count": F.coalesce(F.col("interval_count").cast("string"), F.lit("0")),
+    }
+    return summary.select("stream_id", F.concat_ws("\n", F.lit("stream_summary"), *[F.concat(F.lit(f"  {k:<24}"), v) for k, v in lines.items()]).alias("text"))
+
+
 def frame_log(parsed: DataFrame) -> DataFrame:
     """A line of text for each frame."""
     f = parsed.filter("status <> 'base_only'")
@@ -183,10 +232,11 @@ def analyze(spark: SparkSession, path: str, verbose: bool = False, fps: float |
 
 
 def analyze_frames(enh: DataFrame, packets: DataFrame | None = None, verbose: bool = False, fps: float | None = None, frames: int = 0, base_frames: DataFrame | None = None, spec_tile_order: bool = False) -> dict[str, DataFrame]:
-    parsed = parse(enh, packets, base_frames, frames)
+    guessed = rates(packets, fps)
+    parsed, packets = limited(parse(enh, packets, base_frames, frames), packets, frames)
     decoded = decode_blocks(parsed.filter("status <> 'base_only'"), spec_tile_order)
-    summary = summarise(parsed, decoded, packets, fps, enh)
-    out = {"frames": parsed, "blocks": decoded, "summary": summary, "log": frame_log(parsed), "report": report(summary, parsed, decoded if verbose else None)}
+    summary = summarise(parsed, decoded, packets, fps, parsed.filter("data is not null") if frames > 0 else enh, guessed)
+    out = {"frames": parsed, "blocks": decoded, "summary": summary, "text": summary_text(summary), "log": frame_log(parsed), "report": report(summary, parsed, decoded if verbose else None)}
     return out | ({"packets": packets} if packets is not None else {})
 
 
@@ -197,15 +247,20 @@ def extract(spark: SparkSession, path: str, output: str, fmt: str = "BIN", **sou
 
 
 def simulate_buffer(spark: SparkSession, path: str, model: str | DataFrame, sample_interval: float = 0.005, time_base: float | None = None, fps: float | None = None, **source) -> dict[str, DataFrame]:
-    """Frames, levels and plot points of the buffers; model is a JSON file or a table of buffer, fill_bitrate, size and
+    """Frames, levels and plot points of the buffers, and all as JSON; model is a JSON file or a table of buffer, fill_bitrate, size and
     initial_fill. Buffers without a valid model are left out."""
     packets, enh = open_path(spark, path, fps=fps, **source)
     parsed = parse(enh, packets).filter("status <> 'base_only'")
     f = parsed.select("stream_id", "frame_index", "pts", F.col("sizes.combined").alias("combined"), F.col("sizes.base").alias("base"), F.col("sizes.enh").alias("enhancement"))
     models = read_model(spark, model) if isinstance(model, str) else model
+    seconds = F.lit(time_base or 1 / (fps or 25.0))
     if packets is None:
         models = models.filter("buffer <> 'base'")
-    return buffering.simulate(f, models, time_base or 1 / (fps or 25.0), sample_interval)
+    elif time_base is None:  # times are in the container's ticks; only raw streams count frames
+        f = f.join(packets.groupBy("stream_id").agg(F.min("tick").alias("tick")), "stream_id", "left")
+        seconds = columns.time_base(F.lit(fps or 25.0), F.col("tick"))
+    out = buffering.simulate(f, models, seconds, sample_interval)
+    return out | {"json": buffering.simulation_json(out, models, sample_interval)}
 
 
 def read_model(spark: SparkSession, path: str) -> DataFrame:

@@ -421,7 +421,7 @@ def buffer_sawtooth_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The plot's points, summed up by stream and kind."""
     f = _released(spark, sf_dir)
     runs = f.groupBy("user_id").agg(F.max("n_steps").alias("n_steps"))
-    levels = buffering.step_levels(buffering.grid(runs, ["user_id"], F.col("n_steps")), f.filter("released"), ["user_id"], "size", F.lit(FILL))
+    levels = buffering.step_levels(runs, f.filter("released"), ["user_id"], "size", F.lit(FILL))
     p = buffering.sawtooth(levels, f, ["user_id"])
     return p.groupBy("user_id", "kind").agg(F.count("*").alias("n"), F.min("level").alias("lowest"), F.max("level").alias("highest"), F.sum("level").alias("total"), F.max("step").alias("last_step"))
 
@@ -458,20 +458,23 @@ def extract_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def strict_merge_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of the exact merge replay, orders of a customer against its line items."""
+    """Pairs of the exact merge replay: all orders of a customer against those with a line item that came back."""
     o = table(spark, sf_dir, "orders")
+    returned = table(spark, sf_dir, "lineitem").filter("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"))
     base = o.select(F.col("o_custkey").cast("string").alias("stream_id"), micros("o_orderdate").alias("pts"), F.col("o_orderkey").alias("id"))
-    enh = o.filter("o_orderkey % 7 <> 0").select(F.col("o_custkey").cast("string").alias("stream_id"), micros("o_orderdate").alias("pts"), F.col("o_orderkey").alias("id"), F.col("o_orderkey").alias("decode_index"))
+    enh = o.join(returned, "o_orderkey", "left_semi").select(F.col("o_custkey").cast("string").alias("stream_id"), micros("o_orderdate").alias("pts"), F.col("o_orderkey").alias("id"), F.col("o_orderkey").alias("decode_index"))
     return pairing.replayed(enh, base)
 
 
 @query()
 def streaming_reorder(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The streaming reorder buffer over orders; its batch twin is reorder_by_pts."""
+    """The stateful reorder buffer over the files of orders as a stream, to its end."""
     from lamina.streaming import reorder
 
-    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("stream_id"), F.col("o_orderkey").alias("decode_index"), micros("o_orderdate").alias("pts"))
-    return reorder.reorder_batch(o, depth=16)
+    def frames(o: DataFrame) -> DataFrame:
+        return o.select(F.col("o_custkey").cast("string").alias("stream_id"), F.col("o_orderkey").alias("decode_index"), micros("o_orderdate").alias("pts"))
+
+    return reorder.run_files(spark, f"{sf_dir}/orders.parquet", table(spark, sf_dir, "orders").schema, depth=16, frames=frames)
 
 
 def queries() -> dict[str, Query]:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from lamina.functions import bits, enums
 from lamina.sources import containers
+from lamina.workers import attach
 
 ENH_FRAMES = "stream_id string, decode_index long, pts long, dts long, depth int, wire_size long, data binary"
 PACKETS = "stream_id string, track int, codec string, decode_index long, pts long, dts long, tick double, pos long, size long, data binary"
@@ -35,6 +36,7 @@ def from_bytes(spark: SparkSession, named: dict[str, bytes]) -> DataFrame:
 
 def _each(df: DataFrame, rows: Callable[..., Iterator[tuple]], schema: str, *columns: str) -> DataFrame:
     """Runs a generator over the given columns of every row; what it yields follows the row's stream_id."""
+    attach(df.sparkSession)
     kind = df.sparkSession.createDataFrame([], schema).schema
     from pyspark.sql.pandas.types import to_arrow_schema
 

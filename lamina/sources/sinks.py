@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from lamina.functions import bits
 from lamina.sources import containers
+from lamina.workers import attach
 
 FORMATS = ("BIN", "RAW", "DELIMITED")
 SUFFIX_FORMATS = {".bin": "BIN", ".lvc": "RAW", ".lcevc": "RAW"}
@@ -29,6 +30,7 @@ def write_frames(frames: DataFrame, folder: str, fmt: str = "BIN", byte_order: s
     """Writes a file for each stream; returns stream_id, file, frames and bytes. Failures fail the job."""
     if fmt not in FORMATS:
         raise ValueError(f"the format is one of {FORMATS}, not {fmt!r}")
+    attach(frames.sparkSession)
     suffix = {"BIN": "bin", "RAW": "lvc", "DELIMITED": "dat"}[fmt]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -62,6 +64,7 @@ def write_frames(frames: DataFrame, folder: str, fmt: str = "BIN", byte_order: s
 
 def dump_units(packets: DataFrame, folder: str) -> DataFrame:
     """Writes a file for each packet, named by stream, track, decode index, PTS and DTS; returns their names and sizes."""
+    attach(packets.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, root = fs.FileSystem.from_uri(folder)
