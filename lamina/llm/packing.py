@@ -1,11 +1,17 @@
 """Best-fit packing of token sequences by a grouping genetic algorithm.
 
 Documents become token ids and one closing id; only documents longer than a sequence are cut. Pieces that fill a whole
-sequence stand alone. The others are dealt by hash into cells of about CELL pieces, each of which evolves several
-populations (islands): crossover injects whole well-filled bins of one parent into the other, drops the bins that would
-hold a piece twice, and best-fits the displaced pieces; after each epoch every island's elite replaces the worst
-individual of the next island. Bins that stay under-filled are opened, and their pieces migrate to cells of a second
-round. A task holds one cell, whatever the input.
+sequence stand alone. The others are dealt by hash into cells of about CELL pieces. Best-fit-decreasing starts a cell, and
+where it needs no more bins than a lower bound says (or, in the first round, one more, whose pieces go on to the second),
+the cell is done: evolution has nothing to gain. The other cells evolve: each has several populations (islands), which
+are rows of a table and so tasks of their own. Crossover injects whole well-filled bins of one parent into the other,
+drops the bins that would hold a piece twice, and best-fits the displaced pieces; mutation empties some bins. After each
+epoch every island's best packing migrates to the next island through that table, until the bound is reached or epochs
+bring no gain. Bins that stay under-filled are opened, and their pieces migrate to cells of a second round. A task holds
+one cell or island, whatever the input.
+
+Of equally large pieces the one read first comes first; of bins with equal room the one that got it last. Very long texts
+are tokenized whole, alone in their part of a batch.
 
 Defined results: a null or empty text is one piece with the closing id alone; repeated rows are packed each on its own;
 an empty table gives no rows; only the id and text columns are read.
@@ -22,7 +28,7 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lamina.llm.common import Scratch, attach, kept
@@ -31,8 +37,8 @@ CAPACITY = 2048
 CELL = 4096
 #: Islands of a cell, members of each; epochs at most, and without a gain; children of an epoch.
 ISLANDS, POPULATION = 4, 5
-EPOCHS, PATIENCE = 12, 3
-GENERATIONS = 40
+EPOCHS, PATIENCE = 6, 2
+GENERATIONS = 12
 #: Bins below this share of the capacity give their pieces to the second round.
 WELL_FILLED = 0.985
 #: Stems whose ids a worker remembers; the memory is emptied when full.
@@ -335,7 +341,7 @@ def _evolve(batches: Iterator[pa.RecordBatch], capacity: int, seed: int) -> Iter
             yield pa.RecordBatch.from_pylist([row], _schema(ISLAND_FIELDS))
 
 
-def _evolved(hard: DataFrame, capacity: int, seed: int, scratch: Scratch) -> DataFrame:
+def _evolved(hard: DataFrame, n_hard: int, capacity: int, seed: int, scratch: Scratch) -> DataFrame:
     """cell and packing of the cells that best-fit-decreasing left above the lower bound. Each island of each cell is a
     row and evolves on its own; after an epoch its best packing migrates to the next island of the cell, where it takes
     the place of the worst."""
@@ -343,7 +349,7 @@ def _evolved(hard: DataFrame, capacity: int, seed: int, scratch: Scratch) -> Dat
     fields = "cell long, island int, sizes binary, members array<binary>, n_bins long, least long"
     bins, idle = None, 0
     for epoch in range(EPOCHS):
-        now = scratch.save(state.repartition("cell", "island").mapInArrow(partial(_evolve, capacity=capacity, seed=seed + epoch), fields))
+        now = scratch.save(state.repartition(spread(scratch.spark, n_hard * ISLANDS), "cell", "island").mapInArrow(partial(_evolve, capacity=capacity, seed=seed + epoch), fields))
         reached = now.groupBy("cell").agg(F.min("n_bins").alias("n"), F.min("least").alias("least")).agg(F.sum("n"), F.sum("least")).first()
         idle = idle + 1 if reached[0] == bins else 0
         bins = reached[0]
@@ -363,20 +369,27 @@ def _rows_of_cells(batches: Iterator[pa.RecordBatch], capacity: int) -> Iterator
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(uid), row["cell"])), pa.array(uid), pa.array(sizes), pa.array(packing), pa.array(fill)], names=["cell", "uid", "length", "bin", "fill"])
 
 
-def _pack_cells(rows: DataFrame, capacity: int, seed: int, scratch: Scratch) -> DataFrame:
-    """Adds bin and fill to rows of cell, uid and length."""
+def spread(spark: SparkSession, n: int) -> int:
+    """Tasks for so many cells or islands, which are few bytes and much work."""
+    return max(1, min(n, max(4 * spark.sparkContext.defaultParallelism, n // 16)))
+
+
+def _pack_cells(rows: DataFrame, n_cells: int, capacity: int, seed: int, scratch: Scratch, passed_on: int = 0) -> DataFrame:
+    """Adds bin and fill to rows of cell, uid and length. passed_on: bins above the bound that need no evolution, since
+    their pieces go on to another round."""
     start = lambda key, cell: _start(key, cell, capacity)
-    cells = scratch.save(rows.groupBy("cell").applyInArrow(start, "cell long, uids binary, sizes binary, packing binary, n_bins long, least long"))
-    hard = cells.filter("n_bins > least")
-    if not hard.isEmpty():
-        better = _evolved(hard, capacity, seed, scratch).withColumnRenamed("packing", "better")
+    cells = scratch.save(rows.repartition(spread(scratch.spark, n_cells), "cell").groupBy("cell").applyInArrow(start, "cell long, uids binary, sizes binary, packing binary, n_bins long, least long"))
+    hard = cells.filter(F.col("n_bins") > F.col("least") + passed_on)
+    if n_hard := hard.count():
+        better = _evolved(hard, n_hard, capacity, seed, scratch).withColumnRenamed("packing", "better")
         cells = cells.join(better, "cell", "left").withColumn("packing", F.coalesce("better", "packing"))
     return cells.select("cell", "uids", "sizes", "packing").mapInArrow(partial(_rows_of_cells, capacity=capacity), "cell long, uid long, length long, bin long, fill long")
 
 
-def _dealt(rows: DataFrame, n: int, seed: int) -> DataFrame:
-    cells = max(1, -(-n // CELL))
-    return rows.select(F.pmod(F.xxhash64("uid", F.lit(seed)), F.lit(cells)).alias("cell"), "uid", "length")
+def _dealt(rows: DataFrame, seed: int) -> tuple[DataFrame, int]:
+    """Rows with their cell, and the number of cells."""
+    cells = max(1, -(-rows.count() // CELL))
+    return rows.select(F.pmod(F.xxhash64("uid", F.lit(seed)), F.lit(cells)).alias("cell"), "uid", "length"), cells
 
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -384,10 +397,10 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_col: str
     scratch = Scratch(docs.sparkSession)
     cut = scratch.save(pieces(docs, tokenizer, capacity, id_col, text_col).withColumn("uid", F.monotonically_increasing_id()))
     short = cut.filter(F.col("length") < capacity).select("uid", "length")
-    first = scratch.save(_pack_cells(_dealt(short, short.count(), 1), capacity, 1, scratch))
+    first = scratch.save(_pack_cells(*_dealt(short, 1), capacity, 1, scratch, 1))
     good = F.col("fill") >= int(WELL_FILLED * capacity)
     loose = first.filter(~good)
-    second = _pack_cells(_dealt(loose, loose.count(), 2), capacity, 1 << 20, scratch)
+    second = _pack_cells(*_dealt(loose, 2), capacity, 1 << 20, scratch)
     # Bins are numbered by round, cell and bin; a cell has fewer bins than 2^20.
     number = lambda r: (F.col("cell") * F.lit(1 << 20) + F.col("bin")) * 4 + r
     placed = first.filter(good).withColumn("sequence_id", number(1)).unionByName(second.withColumn("sequence_id", number(2)))

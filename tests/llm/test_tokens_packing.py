@@ -130,7 +130,7 @@ def test_islands_exchange_their_best(spark, monkeypatch):
     sizes = r.integers(520, 900, 900)
     rows = spark.createDataFrame([(k % 3, k, int(s)) for k, s in enumerate(sizes)], "cell long, uid long, length long")
     monkeypatch.setattr(packing, "EPOCHS", 3)
-    got = packing._pack_cells(rows, 2048, 1, packing.Scratch(spark)).collect()
+    got = packing._pack_cells(rows, 3, 2048, 1, packing.Scratch(spark)).collect()
     assert sorted((x["uid"], x["length"]) for x in got) == sorted(enumerate(sizes.tolist()))
     fill = defaultdict(int)
     for x in got:
