@@ -9,16 +9,19 @@ COVERAGE of the item, and the slots inside its windows must be consistent, that
 value of the document and the other way round, in each type; or it has a run of EXACT tokens word for word. So questions
 with other numbers or names are caught, and chance templates are not.
 
-The benchmark's windows are looked up from a sorted table inside each task, in blocks of at most MAX_WINDOWS windows, a
-pass over the documents for each block; so what is sent to tasks has a fixed bound.
+The benchmark's windows stay a table. Documents are searched in one pass for windows that pass a filter of fixed size,
+those windows are hash-joined with the benchmark's, and the pairs so found are compared by their texts. So neither the
+driver nor a task holds the benchmark, whatever its size.
 
 Items that windows cannot find are found as a whole: an item shorter than a window by one window of its own width, one
 with fewer literal words than LITERAL in each of its windows by all of its template. An item too short or too dense for
 a window past its first two words (at a sentence's start a name is not told from a word), or with hardly a literal word
 at all, is also or only found word for word, since the template of "12 + 7 = 19" is that of every sum.
 
-Defined results: null or empty texts on either side match nothing; equal items match each for itself; repeated rows are judged each on its own; an empty benchmark leaves all documents clean;
-only ids and texts are read, further columns are passed on untouched by drop_leaks.
+Defined results: null or empty texts on either side match nothing; equal items match each for itself; repeated rows are
+judged each on its own; of equally good matches of an item the one with more slots counts; a very long text is one row of
+its task; an empty benchmark leaves all documents clean, and an empty table stays empty. find_leaks reads ids and texts
+alone; drop_leaks passes on all columns, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,10 +35,12 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, IntegerType, LongType, StructField, StructType
 
-from lamina.llm.common import attach, kept
+from lamina.llm.common import Scratch, attach, column, fresh, kept
 from lamina.llm.jaccard import mixed
 
 WINDOW = 8
@@ -44,7 +49,8 @@ LITERAL = 5
 COVERAGE = 50
 #: Tokens that match by themselves if they agree word for word.
 EXACT = 13
-MAX_WINDOWS = 2_000_000
+#: Bits of the filter of the benchmark's windows that every task gets: when it fills up, more windows are joined.
+FILTER_BITS = 1 << 24
 #: Fixed unit words.
 UNITS = frozenset(
     "km m cm mm mi mile miles ft feet foot inch inches yard yards kg g mg lb lbs pound pounds oz ton tons l ml litre litres liter liters gallon gallons "
@@ -192,96 +198,105 @@ def hashes(of: np.ndarray, width: int, seed: int = 0) -> np.ndarray:
     return h
 
 
-class Index:
-    """Windows of benchmark items, sorted by hash."""
+@dataclass
+class Widths:
+    """Which windows of documents the benchmark's entries can meet: dense ones of WINDOW tokens, shorter ones, words."""
 
-    def __init__(self, items: list[tuple[int, str]]):
-        words = Words()
-        self.items = [(i, words(t or "")) for i, t in items]
-        found = [(h, k, at, tells, width) for k, (_, t) in enumerate(self.items) for h, at, tells, width in t.entries()]
-        h = np.array([f[0] for f in found], np.uint64)
-        order = np.argsort(h, kind="stable")
-        self.hash = h[order]
-        self.item, self.at, self.tells = (np.array([f[c] for f in found], np.int64)[order] for c in (1, 2, 3))
-        self.dense = any(tells == TEMPLATE and width == WINDOW for _, _, _, tells, width in found)
-        self.short = sorted({width for *_, tells, width in found if tells != WORDS and width < WINDOW})
-        self.word_widths = sorted({width for *_, tells, width in found if tells == WORDS})
+    dense: bool
+    short: list[int]
+    words: list[int]
+
+    @classmethod
+    def of(cls, found: set[tuple[int, int]]) -> Widths:
+        """By what entries tell and their width."""
+        return cls((TEMPLATE, WINDOW) in found, sorted({w for tells, w in found if tells != WORDS and w < WINDOW}), sorted({w for tells, w in found if tells == WORDS}))
 
     def windows(self, doc: Template) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Starts and hashes of the windows of doc that the index can hold."""
+        """Starts and hashes."""
         n = len(doc.code)
         if n >= WINDOW:
             if self.dense:
                 yield np.arange(n - WINDOW + 1), hashes(doc.code, WINDOW)
             else:
                 yield doc.windows()
-        for of, widths, seed in ((doc.code, self.short, 0), (doc.raw, self.word_widths, WORDS_SEED)):
+        for of, widths, seed in ((doc.code, self.short, 0), (doc.raw, self.words, WORDS_SEED)):
             for width in widths:
                 if width <= len(of):
                     yield np.arange(len(of) - width + 1), hashes(of, width, seed)
 
+
+class Index:
+    """The same search in memory, for a few items and single texts."""
+
+    def __init__(self, items: list[tuple[int, str]]):
+        words = Words()
+        self.items = [(i, words(t or "")) for i, t in items]
+        found = [(h, k, at, tells, width) for k, (_, t) in enumerate(self.items) for h, at, tells, width in t.entries()]
+        self.entries: dict[int, list[tuple[int, int, int]]] = {}
+        for h, k, at, tells, _ in found:
+            self.entries.setdefault(h, []).append((k, at, tells))
+        self.widths = Widths.of({(tells, width) for *_, tells, width in found})
+
     def matches(self, doc: Template) -> list[tuple[int, int, int, int, int, bool]]:
         """(item id, tokens covered, item's tokens, slots, slots changed, consistent) of each item that doc matches."""
-        if not len(self.hash) or not len(doc.code):
-            return []
-        hits: dict[int, dict[int, set[int]]] = {}
-        best: dict[int, tuple] = {}
-        for starts, h in self.windows(doc):
-            lo = np.searchsorted(self.hash, h)
-            hit = np.flatnonzero(self.hash[np.minimum(lo, len(self.hash) - 1)] == h)
-            for k in hit.tolist():
-                j = int(lo[k])
-                while j < len(self.hash) and self.hash[j] == h[k]:
-                    item, at, tells = int(self.item[j]), int(self.at[j]), int(self.tells[j])
-                    shift = int(starts[k]) - at
-                    if tells == PART:
-                        hits.setdefault(item, {}).setdefault(shift, set()).add(at)
-                    elif (found := self.items[item][1].whole(doc, shift, tells)) and (item not in best or found > best[item]):
-                        best[item] = found
-                    j += 1
-        for item, diagonals in hits.items():
-            found = self.compare(self.items[item][1], doc, diagonals)
-            if found and (item not in best or found > best[item]):
-                best[item] = found
-        return [(self.items[i][0], f[1], len(self.items[i][1].code), f[2], f[3], f[0]) for i, f in sorted(best.items())]
-
-    @staticmethod
-    def compare(item: Template, doc: Template, diagonals: dict[int, set[int]]) -> tuple[bool, int, int, int] | None:
-        """Whether slots are consistent, tokens covered, slots and changed slots of the best match of an item whose
-        windows hit at places by diagonal."""
-        n, best, runs = len(item.code), None, []
-        for shift, places in diagonals.items():
-            lo, hi = max(0, -shift), min(n, len(doc.code) - shift)
-            a, b = slice(lo, hi), slice(lo + shift, hi + shift)
-            equal, slot, same, window = (np.zeros(n, bool) for _ in range(4))
-            equal[a] = item.value[a] == doc.value[b]
-            slot[a] = (item.code[a] == doc.code[b]) & (item.kind[a] != LITERAL_KIND)
-            # A name at a sentence's start is a literal there; where only one side took it for a name, equal words still agree.
-            same[a] = (item.code[a] == doc.code[b]) | equal[a]
-            for k in places:
-                window[k : k + WINDOW] = True
-            here = []
-            for s, e in stretches(same):
-                if not window[s:e].any():
-                    continue
-                while s < e and slot[s] and not equal[s]:  # what stands at the edge can be there by chance
-                    s += 1
-                while s < e and slot[e - 1] and not equal[e - 1]:
-                    e -= 1
-                at = np.flatnonzero(slot[s:e] & window[s:e]) + s
-                here.append(Run(e - s, s, e, shift, pairs(item, doc, shift, at), len(at), int((~equal[at]).sum())))
-                for x, y in stretches(equal[s:e]):
-                    if y - x >= EXACT:
-                        best = max(best or (False,), (True, y - x, int(slot[s + x : s + y].sum()), 0))
-            runs += here
-            covered = int(same.sum())
-            if 100 * covered >= COVERAGE * n:
-                fits = consistent(set().union(*[r.pairs for r in here]))
-                best = max(best or (False,), (fits, covered, sum(r.slots for r in here), sum(r.changed for r in here)))
-        if len(runs) > 1 and not (best and best[0] and best[1] == n):
-            found = chained(runs, n)
-            best = max(best or (False,), found) if found else best
-        return best
+        hits: dict[int, list[tuple[int, int, int]]] = {}
+        for starts, h in self.widths.windows(doc):
+            for start, x in zip(starts.tolist(), h.tolist(), strict=True):
+                for item, at, tells in self.entries.get(x, ()):
+                    hits.setdefault(item, []).append((start, at, tells))
+        found = [(i, judged(self.items[i][1], doc, h)) for i, h in sorted(hits.items())]
+        return [(self.items[i][0], f[1], len(self.items[i][1].code), f[2], f[3], f[0]) for i, f in found if f]
+
+
+def judged(item: Template, doc: Template, hits: list[tuple[int, int, int]]) -> tuple[bool, int, int, int] | None:
+    """Whether slots are consistent, tokens covered, slots and changed slots of the best match of an item, given where
+    its entries hit: (start in the document, place in the item, what it tells)."""
+    best, diagonals = None, {}
+    for start, at, tells in sorted(set(hits)):
+        if tells == PART:
+            diagonals.setdefault(start - at, set()).add(at)
+        elif found := item.whole(doc, start - at, tells):
+            best = max(best or (False,), found)
+    found = compare(item, doc, diagonals) if diagonals else None
+    return max(best or (False,), found) if found else best
+
+
+def compare(item: Template, doc: Template, diagonals: dict[int, set[int]]) -> tuple[bool, int, int, int] | None:
+    """Whether slots are consistent, tokens covered, slots and changed slots of the best match of an item whose
+    windows hit at places by diagonal."""
+    n, best, runs = len(item.code), None, []
+    for shift, places in diagonals.items():
+        lo, hi = max(0, -shift), min(n, len(doc.code) - shift)
+        a, b = slice(lo, hi), slice(lo + shift, hi + shift)
+        equal, slot, same, window = (np.zeros(n, bool) for _ in range(4))
+        equal[a] = item.value[a] == doc.value[b]
+        slot[a] = (item.code[a] == doc.code[b]) & (item.kind[a] != LITERAL_KIND)
+        # A name at a sentence's start is a literal there; where only one side took it for a name, equal words still agree.
+        same[a] = (item.code[a] == doc.code[b]) | equal[a]
+        for k in places:
+            window[k : k + WINDOW] = True
+        here = []
+        for s, e in stretches(same):
+            if not window[s:e].any():
+                continue
+            while s < e and slot[s] and not equal[s]:  # what stands at the edge can be there by chance
+                s += 1
+            while s < e and slot[e - 1] and not equal[e - 1]:
+                e -= 1
+            at = np.flatnonzero(slot[s:e] & window[s:e]) + s
+            here.append(Run(e - s, s, e, shift, pairs(item, doc, shift, at), len(at), int((~equal[at]).sum())))
+            for x, y in stretches(equal[s:e]):
+                if y - x >= EXACT:
+                    best = max(best or (False,), (True, y - x, int(slot[s + x : s + y].sum()), 0))
+        runs += here
+        covered = int(same.sum())
+        if 100 * covered >= COVERAGE * n:
+            fits = consistent(set().union(*[r.pairs for r in here]))
+            best = max(best or (False,), (fits, covered, sum(r.slots for r in here), sum(r.changed for r in here)))
+    if len(runs) > 1 and not (best and best[0] and best[1] == n):
+        found = chained(runs, n)
+        best = max(best or (False,), found) if found else best
+    return best
 
 
 @dataclass
@@ -341,62 +356,115 @@ def stretches(of: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True))
 
 
-def _indexes(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[Index]:
-    """Indexes of consecutive parts of the benchmark, each of at most MAX_WINDOWS windows."""
-    held, size = [], 0
-    for r in benchmark.select(id_col, text_col).orderBy(id_col, text_col).toLocalIterator():
-        n = len((r[1] or "").split())
-        if held and size + n > MAX_WINDOWS:
-            yield Index(held)
-            held, size = [], 0
-        held.append((r[0], r[1]))
-        size += n
-    if held:
-        yield Index(held)
+def _bits(h: np.ndarray) -> list[np.ndarray]:
+    """The filter's bits of hashes."""
+    return [((h >> np.uint64(k)) & np.uint64(FILTER_BITS - 1)).astype(np.int64) for k in (0, 20, 40)]
+
+
+def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    words = Words.shared()
+    for b in batches:
+        found = [(h, item, at, tells, width) for item, text in zip(b["item"].to_pylist(), b["text"].to_pylist(), strict=True) for h, at, tells, width in words(text or "").entries()]
+        h = np.array([f[0] for f in found], np.uint64).view(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(h), *(pa.array([f[c] for f in found], t) for c, t in ((1, pa.int64()), (2, pa.int32()), (3, pa.int32()), (4, pa.int32())))], names=["hash", "item", "at", "tells", "width"])
+
+
+def _words_of_filter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    bits = np.zeros(FILTER_BITS // 64, np.uint64)
+    for b in batches:
+        for p in _bits(b["hash"].to_numpy().view(np.uint64)):
+            np.bitwise_or.at(bits, p >> 6, np.uint64(1) << (p & 63).astype(np.uint64))
+    at = np.flatnonzero(bits)
+    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(bits[at].view(np.int64))], names=["word", "bits"])
+
+
+class Benchmark:
+    """Items with a number each, their entries as a table to join with, and what documents are searched by: a filter of
+    fixed size and the widths of windows."""
+
+    def __init__(self, benchmark: DataFrame, id_col: str, text_col: str, scratch: Scratch):
+        attach(benchmark.sparkSession)
+        self.items = scratch.save(benchmark.select(F.monotonically_increasing_id().alias("item"), column(id_col).alias("item_id"), column(text_col).alias("text")))
+        self.entries = scratch.save(self.items.select("item", "text").mapInArrow(_entries, "hash long, item long, at int, tells int, width int"))
+        self.widths = Widths.of({(r["tells"], r["width"]) for r in self.entries.select("tells", "width").distinct().collect()})  # a few kinds
+        found = self.entries.select("hash").mapInArrow(_words_of_filter, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+        self.bits = np.zeros(FILTER_BITS // 64, np.int64)
+        self.bits[found["word"].to_numpy()] = found["bits"].to_numpy()
+
+    def search(self, docs: DataFrame, text_col: str, all_docs: bool) -> tuple[DataFrame, list[str]]:
+        """Rows of docs (all, or those that pass the filter) with a number and whether they pass; and a row for each
+        window that does: the document's number, its start and hash. Returns also the names of these four columns."""
+        names = fresh(docs, "uid", "passes", "start", "hash")
+        shared = docs.sparkSession.sparkContext.broadcast((self.bits.view(np.uint64), self.widths))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            words, (bits, widths) = Words.shared(), shared.value
+            uid = TaskContext.get().partitionId() << 33
+            for b in batches:
+                uids, passes, rows = np.arange(uid, uid + b.num_rows), np.zeros(b.num_rows, bool), []
+                uid += b.num_rows
+                for k, text in enumerate(b[text_col].to_pylist()):
+                    for starts, h in widths.windows(words(text or "")) if text else ():
+                        ok = np.logical_and.reduce([bits[p >> 6] >> (p & 63).astype(np.uint64) & np.uint64(1) for p in _bits(h)]).astype(bool)
+                        if ok.any():
+                            passes[k] = True
+                            rows.append((np.full(int(ok.sum()), uids[k]), starts[ok], h[ok].view(np.int64)))
+                whole = pa.RecordBatch.from_arrays([*b.columns, pa.array(uids), pa.array(passes), pa.nulls(b.num_rows, pa.int32()), pa.nulls(b.num_rows, pa.int64())], names=[*b.schema.names, *names])
+                yield whole if all_docs else whole.filter(pa.array(passes))
+                if rows:
+                    at, starts, h = (np.concatenate(x) for x in zip(*rows, strict=True))
+                    none = [pa.nulls(len(at), t) for t in b.schema.types]
+                    yield pa.RecordBatch.from_arrays([*none, pa.array(at), pa.nulls(len(at), pa.bool_()), pa.array(starts.astype(np.int32)), pa.array(h)], names=[*b.schema.names, *names])
+
+        fields = [StructField(f.name, f.dataType) for f in docs.schema] + [StructField(n, t) for n, t in zip(names, (LongType(), BooleanType(), IntegerType(), LongType()), strict=True)]
+        return docs.mapInArrow(run, StructType(fields)), names
+
+    def found(self, searched: DataFrame, text_col: str, names: list[str]) -> DataFrame:
+        """uid, item and the numbers of judged() of each document and item that match. Windows are hash-joined with the
+        entries; a pair's hits then meet both texts."""
+        uid, passes, start, h = map(F.col, names)
+        hits = searched.filter(start.isNotNull()).select(uid.alias("uid"), start.alias("start"), h.alias("hash"))
+        pairs = hits.join(self.entries, "hash").groupBy("uid", "item").agg(F.collect_list(F.struct("start", "at", "tells")).alias("hits"))
+        texts = searched.filter(passes).select(uid.alias("uid"), column(text_col).alias("doc_text"))
+        pairs = pairs.join(texts, "uid").join(self.items.select("item", "text"), "item").select("uid", "item", "hits", "doc_text", "text")
+        return pairs.mapInArrow(_judge, "uid long, item long, n_covered long, n_item_tokens long, n_slots long, n_changed long")
+
+
+def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    words, names = Words.shared(), ["uid", "item", "n_covered", "n_item_tokens", "n_slots", "n_changed"]
+    for b in batches:
+        out, last, doc = [], None, None
+        for uid, item, hits, doc_text, text in zip(*(b[c].to_pylist() for c in ("uid", "item", "hits", "doc_text", "text")), strict=True):
+            if uid != last:
+                last, doc = uid, words(doc_text)
+            template = words(text)
+            found = judged(template, doc, [(h["start"], h["at"], h["tells"]) for h in hits])
+            if found and found[0]:
+                out.append((uid, item, found[1], len(template.code), found[2], found[3]))
+        yield pa.RecordBatch.from_arrays([pa.array([o[c] for o in out], pa.int64()) for c in range(6)], names=names)
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
     """Per document and item that leaked into it: ids, tokens covered, the item's tokens, slots, changed slots and kind
     ("verbatim", or "changed" where slots hold other values)."""
-    spark = docs.sparkSession
-    attach(spark)
-    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    kind, item_kind = source.schema["id"].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
-    schema = f"id {kind}, item {item_kind}, n_covered long, n_item_tokens long, n_slots long, n_changed long"
-    out = spark.createDataFrame([], schema)
-    for index in _indexes(benchmark, item_col, text_col):
-        shared = spark.sparkContext.broadcast(index)
-        item_type = pa.array([i for i, _ in index.items]).type
-
-        def search(batches: Iterator[pa.RecordBatch], shared=shared, item_type=item_type) -> Iterator[pa.RecordBatch]:
-            words, index = Words.shared(), shared.value
-            for b in batches:
-                row, found = [], []
-                for k, text in enumerate(b["text"].to_pylist()):
-                    for m in index.matches(words(text or "")):
-                        if m[-1]:
-                            row.append(k)
-                            found.append(m)
-                columns = [pa.array([m[c] for m in found], item_type if c == 0 else pa.int64()) for c in range(5)]
-                yield pa.RecordBatch.from_arrays([b["id"].take(pa.array(row, pa.int64())), *columns], names=["id", "item", "n_covered", "n_item_tokens", "n_slots", "n_changed"])
-
-        out = out.unionByName(source.mapInArrow(search, schema))
-    changed = F.when(F.col("n_changed") > 0, "changed").otherwise("verbatim")
-    return out.withColumn("kind", changed).withColumnsRenamed({"id": id_col, "item": item_col})
+    scratch = Scratch(docs.sparkSession)
+    bench = Benchmark(benchmark, item_col, text_col, scratch)
+    searched, names = bench.search(docs.select(column(id_col).alias("id"), column(text_col).alias("text")), "text", all_docs=False)
+    searched = scratch.save(searched)
+    changed = F.when(F.col("n_changed") > 0, "changed").otherwise("verbatim").alias("kind")
+    out = bench.found(searched, "text", names).join(searched.filter(names[1]).select(F.col(names[0]).alias("uid"), "id"), "uid").join(bench.items.select("item", "item_id"), "item")
+    return out.select(F.col("id").alias(id_col), F.col("item_id").alias(item_col), "n_covered", "n_item_tokens", "n_slots", "n_changed", changed)
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
     """docs without those into which an item leaked. Columns stay as they are."""
-    spark = docs.sparkSession
-    attach(spark)
-    for index in _indexes(benchmark, "item_id", "text"):
-        shared = spark.sparkContext.broadcast(index)
-
-        def clean(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            words, index = Words.shared(), shared.value
-            for b in batches:
-                ok = [not any(m[-1] for m in index.matches(words(t or ""))) for t in b[text_col].to_pylist()]
-                yield b.filter(pa.array(ok, pa.bool_()))
-
-        docs = docs.mapInArrow(clean, docs.schema)
-    return docs
+    scratch = Scratch(docs.sparkSession)
+    bench = Benchmark(benchmark, "item_id", "text", scratch)
+    given, docs = docs.columns, docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])  # names with dots do not reach Arrow
+    text_col = docs.columns[given.index(text_col)]
+    searched, names = bench.search(docs, text_col, all_docs=True)
+    searched = scratch.save(searched)
+    uid, passes = names[:2]
+    bad = bench.found(searched, text_col, names).select(F.col("uid").alias(uid)).distinct()
+    kept = searched.filter(~F.col(passes)).unionByName(searched.filter(passes).join(bad, uid, "left_anti"))
+    return kept.select(*docs.columns).toDF(*given)

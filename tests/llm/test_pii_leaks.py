@@ -2,6 +2,7 @@
 
 import ipaddress
 import itertools
+import random
 import re
 
 import pytest
@@ -89,10 +90,8 @@ def test_inconsistent_slots_are_no_leak():
     assert not index.matches(words("Add 6 apples and 4 pears to 9 plums then count all the fruit in the bowl"))[0][-1]
 
 
-@pytest.mark.parametrize("most", [2_000_000, 100])
-def test_leaks_table(spark, monkeypatch, most):
+def test_leaks_table(spark):
     """Every item that a document holds word for word is found, and nothing where no run of its words occurs."""
-    monkeypatch.setattr(leaks, "MAX_WINDOWS", most)
     sf = "/root/testdata/sf0.01"
     norm = lambda t: f" {' '.join(t.lower().split())} "
     docs = {r["doc_id"]: norm(r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
@@ -104,6 +103,70 @@ def test_leaks_table(spark, monkeypatch, most):
         assert any(" ".join(w[k : k + 6]) in docs[d] for k in range(len(w) - 5))
 
 
+def plain_windows(t):
+    """What a window of a text can be compared by: kind and width, and its codes or words, by place."""
+    n, out = len(t.code), {}
+    for width in range(1, min(leaks.WINDOW, n) + 1):
+        for k in range(n - width + 1):
+            out.setdefault((False, width, tuple(t.code[k : k + width].tolist())), []).append(k)
+    for width in range(1, min(leaks.WINDOW, len(t.raw)) + 1):
+        for k in range(len(t.raw) - width + 1):
+            out.setdefault((True, width, tuple(t.raw[k : k + width].tolist())), []).append(k)
+    return out
+
+
+def plain_leaks(docs, items):
+    """Every document against every item, windows compared as they are."""
+    words, out = leaks.Words(), []
+    texts = {i: words(t or "") for i, t in items}
+    for d, text in docs:
+        doc = words(text or "")
+        have = plain_windows(doc)
+        for i, item in texts.items():
+            hits = []
+            for _, at, tells, width in item.entries():
+                of = item.raw if tells == leaks.WORDS else item.code
+                hits += [(k, at, tells) for k in have.get((tells == leaks.WORDS, width, tuple(of[at : at + width].tolist())), ())]
+            found = leaks.judged(item, doc, hits) if hits else None
+            if found and found[0]:
+                out.append((d, i, found[1], len(item.code), found[2], found[3], "changed" if found[3] else "verbatim"))
+    return sorted(out)
+
+
+def test_templates_by_brute_force(spark):
+    """The filter, the join and the comparison against all pairs, on items with other names, numbers and words."""
+    r = random.Random(3)
+    items = [(row["item_id"], row["text"]) for row in spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").limit(40).collect()]
+    items += [(900 + k, x) for k, x in enumerate([ITEM, ITEM, "What is 12 + 7", "short item of five words", None, "", "Mary gave Tom 5 km of rope and 7 kg of flour for 9 usd"])]
+    docs = []
+    for k in range(150):
+        parts = [f"Words {r.randint(1, 99)} before it."]
+        for _ in range(r.randint(0, 3)):
+            words = (r.choice(items)[1] or "").split()
+            for _ in range(r.randint(0, 4)):
+                if words:
+                    at = r.randrange(len(words))
+                    words[at : at + r.randint(0, 1)] = [r.choice(["17", "Boris", "plainly", "4 km", ""])]
+            parts.append(" ".join(words))
+        docs.append((k, " ".join(parts)))
+    docs += [(500, None), (501, ""), (502, ITEM.replace("60", "75").replace("Anna", "Mary Ann"))]
+    df = spark.createDataFrame(docs + [(502, docs[-1][1])], "doc_id long, text string").repartition(5)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = sorted(tuple(x) for x in leaks.find_leaks(df, bench).collect())
+    want = plain_leaks(docs + [(502, docs[-1][1])], items)
+    assert got == want and any(x[-1] == "changed" for x in want)
+    clean = {x["doc_id"] for x in leaks.drop_leaks(df, bench).collect()}
+    assert clean == {d for d, _ in docs} - {x[0] for x in want}
+
+
+def test_drop_leaks_keeps_any_columns(spark):
+    df = spark.createDataFrame([(1, ITEM, 2, [3], "k"), (2, "clean text of its own", None, None, None)], "doc_id long, text string, `a.b` int, uid array<int>, passes string")
+    bench = spark.createDataFrame([(7, ITEM)], "item_id long, text string")
+    out = leaks.drop_leaks(df, bench)
+    assert out.columns == df.columns and [tuple(x) for x in out.collect()] == [(2, "clean text of its own", None, None, None)]
+    assert leaks.drop_leaks(df, bench.limit(0)).count() == 2 and leaks.find_leaks(df.limit(0), bench).count() == 0
+
+
 LONG = "There is much to say before and a great deal of it has been said. {} And there is as much to say after it, if not more"
 
 
