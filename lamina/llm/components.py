@@ -13,8 +13,8 @@ def _both(edges: DataFrame) -> DataFrame:
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
-    """Hangs the larger neighbours of every node on its smallest one. Minima combine before the shuffle, so a hub with
-    any number of neighbours is no burden to one task."""
+    """Hangs the larger neighbours of every node on its smallest one. Minima combine before the shuffle; the join of a
+    hub's neighbours with its minimum is left to the adaptive split of skewed joins."""
     n = _both(edges)
     low = n.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
     return n.filter("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()

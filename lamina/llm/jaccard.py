@@ -1,9 +1,10 @@
 """N-gram Jaccard join by T-occurrence search with long lists set apart (DivideSkip).
 
 Two documents of n and m shingles reach the wanted Jaccard similarity only when one occurs in at least T of the
-other's inverted lists, T = ceil(90% of n). Of a document's n lists the T - 1 longest are set apart: a partner must
-then occur in at least one of the n - T + 1 short lists. Short lists are merged by sorting them by shingle; survivors
-are probed against the long lists by binary search in the partner's sorted set, until T is reached or out of reach.
+other's inverted lists, T = ceil(90% of n). Of a document's n lists the T - 1 longest are set apart, the most that
+DivideSkip can: a partner must then occur in at least one of the n - T + 1 short lists. Short lists are merged by sorting
+them by shingle, where one common list makes a candidate; candidates are probed by binary search in the larger one's
+sorted set, block by block, until the overlap is reached or out of reach.
 
 1. One pass gives every document its set size, a fingerprint and a bit sketch of its set, and counts the shingles that
    are frequent inside blocks. Documents with one fingerprint are one node from then on.
@@ -22,7 +23,8 @@ different sets some two share one with a probability of about N * N / 2^65.
 
 Defined results: a null, empty or blank text has no shingles and is linked with nothing, so its component is its own id;
 texts with fewer words than a shingle have one, of all their words; repeated rows are linked with each other; rows
-without an id get a row, and component null unless linked with one that has an id; only the id and text columns are
+without an id get a row, and component null unless linked with one that has an id; shingles of equal rank are ordered by
+their hashes; a very long text is one row of its task, and its set one of the next ones; only the id and text columns are
 read; an empty table gives no rows.
 """
 
@@ -47,6 +49,8 @@ COUNTED, REPORTED = 1 << 21, 4
 #: Nodes of a list that are compared in one block.
 BLOCK = 4096
 SKETCH_BITS = 512
+#: Shingles that are probed at once.
+PROBED = 512
 #: Bits of the filter by which documents whose sets are wanted are told before their sets are made.
 FILTER_BITS = 1 << 24
 MASK = (1 << 64) - 1
@@ -311,16 +315,24 @@ def _near(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Record
         yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
+def reaches(s: np.ndarray, t: np.ndarray, percent: int) -> bool:
+    """Whether the smaller set s and t reach the similarity: binary probes of s in t, until enough are met or too few are
+    left."""
+    wanted, both = -(-percent * (len(s) + len(t)) // (100 + percent)), 0
+    for lo in range(0, len(s), PROBED):
+        part = s[lo : lo + PROBED]
+        at = np.minimum(np.searchsorted(t, part), len(t) - 1)
+        both += int((t[at] == part).sum())
+        if both >= wanted or both + len(s) - lo - len(part) < wanted:
+            break
+    return both >= wanted
+
+
 def _probe(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """The pairs that reach the similarity: binary probes of the smaller set's shingles in the larger set."""
+    """The pairs that reach the similarity."""
     for b in batches:
-        keep = []
-        for x, y in zip(b["set_a"].to_pylist(), b["set_b"].to_pylist(), strict=True):
-            s, t = sorted((unpacked(x), unpacked(y)), key=len)
-            at = np.minimum(np.searchsorted(t, s), len(t) - 1)
-            both = int((t[at] == s).sum())
-            keep.append(100 * both >= percent * (len(s) + len(t) - both))
-        yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        sets = [sorted((unpacked(x), unpacked(y)), key=len) for x, y in zip(b["set_a"].to_pylist(), b["set_b"].to_pylist(), strict=True)]
+        yield b.select(["a", "b"]).filter(pa.array([reaches(s, t, percent) for s, t in sets], pa.bool_()))
 
 
 def _sets(batches: Iterator[pa.RecordBatch], width: int, wanted) -> Iterator[pa.RecordBatch]:

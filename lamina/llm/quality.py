@@ -4,8 +4,9 @@ Every line is judged by rules first; failing lines are removed; a document is re
 with them, or when its word statistics fail.
 
 Defined results: a null text counts as empty (no words, so rejected); an empty text likewise; lines without a word are
-neither judged nor counted as loss; repeated rows are judged alike, each on its own; tables without rows give no rows.
-Only the id and text columns are read, so further columns, whatever their names, do not matter.
+neither judged nor counted as loss; repeated rows are judged alike, each on its own; tables without rows give no rows; a
+very long text is one row of its task; of a line's failed rules the first counts. judge reads the id and text columns
+alone; keep_clean passes on all others, whatever their names.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lamina.llm.common import SPACE, let
+from lamina.llm.common import SPACE, column, fresh, let
 
 #: Characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
@@ -117,10 +118,11 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 def keep_clean(docs: DataFrame) -> DataFrame:
     """documents without the rejected ones; the others carry their cleaned text. Columns stay as they are."""
-    names, q = docs.columns, "__quality"
+    names = docs.columns
+    (q,) = fresh(docs, "quality")
     d = docs.withColumn(q, F.explode(F.array(quality(F.col("text")))))  # a generator keeps the filter from evaluating it again
     w, c, lost = F.col(f"{q}.w.n_words"), F.col(f"{q}.l.word_chars"), F.col(f"{q}.l.lost_chars")
     ok = (w >= MIN_WORDS) & (F.col(f"{q}.w.n_repeat_words") * 100 <= w * MAX_REPEAT_PERCENT) & (lost * 100 <= c * MAX_LOST_PERCENT)
     text = F.when(F.col(f"{q}.l.n_lines_removed") > 0, F.col(f"{q}.l.cleaned_text")).otherwise(F.col("text"))
     new = {"text": text} | ({"n_chars": F.length(text).cast("long")} if "n_chars" in names else {})
-    return d.filter(ok).withColumns(new).select(*names)
+    return d.filter(ok).select(*[new[n].alias(n) if n in new else column(n) for n in names])

@@ -4,6 +4,7 @@ import random
 import re
 from itertools import combinations
 
+import numpy as np
 import pytest
 from lamina.llm import jaccard, queries
 from lamina.llm.common import Scratch
@@ -86,3 +87,14 @@ def test_components(spark):
         lo, hi = sorted((root(a), root(b)))
         parent[hi] = lo
     assert got == {x: root(x) for a, b in edges if a != b for x in (a, b)}
+
+
+def test_probes_stop_early_and_right():
+    r = np.random.default_rng(9)
+    for _ in range(300):
+        t = np.unique(r.integers(0, 4000, r.integers(1, 3000)).astype(np.uint64))
+        s = np.unique(np.concatenate([t[r.random(len(t)) < r.choice([0.5, 0.9, 0.97, 1])], r.integers(0, 4000, r.integers(0, 60)).astype(np.uint64)]))
+        if len(s):
+            s, t = sorted((s, t), key=len)
+            both = len(np.intersect1d(s, t))
+            assert jaccard.reaches(s, t, 90) == (100 * both >= 90 * (len(s) + len(t) - both))
