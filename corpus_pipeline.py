@@ -15,34 +15,38 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the line-first quality rules keep, without their failing lines."""
+    """Documents that the line-first quality rules keep, without their failing lines. A null or empty text has no words
+    and goes; repeated rows are judged alike; a very long text is judged whole."""
     return quality.keep_clean(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: that of the smallest id. Five-word shingles, similarity 0.8.
     Documents without words are no copies of each other and stay, as do rows without an id; of rows that repeat id and
-    text one stays."""
+    text one stays; rows that repeat an id with different texts stay or go together, and stay if one of them does."""
+    given, docs = docs.columns, docs.toDF(*[c if c in ("doc_id", "text") else f"c{k}" for k, c in enumerate(docs.columns)])
     linked = jaccard.link(docs.select("doc_id", "text"), width=5, percent=80)
-    first = linked.filter(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count("*").alias("__rows"))
+    first = linked.filter(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count("*").alias("rows"))
     kept = docs.join(first, "doc_id")
-    repeated = kept.filter("__rows > 1").dropDuplicates(["doc_id", "text"])
-    out = kept.filter("__rows = 1").unionByName(repeated).select(*docs.columns)
-    return out.unionByName(docs.filter("doc_id is null"))
+    repeated = kept.filter("rows > 1").dropDuplicates(["doc_id", "text"])
+    out = kept.filter("rows = 1").unionByName(repeated).select(*docs.columns)
+    return out.unionByName(docs.filter("doc_id is null")).toDF(*given)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents into which no benchmark item leaked, as it is or with other slot values."""
+    """Documents into which no benchmark item leaked, as it is or with other slot values. Null and empty texts are clean;
+    repeated rows are judged alike."""
     return leaks.drop_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with every reported credential replaced by a mark."""
+    """Documents with every reported credential replaced by a mark. A null text stays null; repeated rows each change."""
     return secrets.redact(docs)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The places of the documents' pieces in training sequences."""
+    """The places of the documents' pieces in training sequences. A null or empty text is one piece, its closing id;
+    repeated rows are packed each on its own."""
     return packing.pack(docs, tokenizer_file("word_bpe_49k.json"))
 
 
