@@ -5,6 +5,8 @@ bytes), orders for base frames, supplier and nation for the stream dimension."""
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +14,7 @@ from pyspark.sql import functions as F
 
 from lamina.functions import columns, enums
 from lamina.operators import buffering, cadence, framing, pairing, sizes
+from lamina.plans import fixtures
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -426,34 +429,56 @@ def buffer_sawtooth_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.groupBy("user_id", "kind").agg(F.count("*").alias("n"), F.min("level").alias("lowest"), F.max("level").alias("highest"), F.sum("level").alias("total"), F.max("step").alias("last_step"))
 
 
-# Streams of bytes: no SQL twin; tests hold them against encoders
+# Streams of bytes. No table holds any, so they are made by an encoder, and SQL tells them as values
 
 
-@query()
+def _folder(spark: SparkSession) -> str:
+    """A new folder that all executors share."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.gettempdir()
+    return f"{base.rstrip('/')}/extracted-{uuid.uuid4().hex}"
+
+
+def _written(spark: SparkSession, fmt: str) -> DataFrame:
+    """The made streams' frames written by a sink and read again as files."""
+    from lamina.sources import readers, sinks
+
+    folder = _folder(spark)
+    sinks.write_frames(readers.bin_frames(fixtures.files(spark)), folder, fmt).count()
+    return readers.files(spark, folder)
+
+
+def _made(*columns: str) -> str:
+    """The made streams' frames as SQL values."""
+    frames = [(stream, k, fixtures.frame(k)) for stream, n in fixtures.MADE.items() for k in range(n)]
+    rows = ", ".join(f"('{stream}', {k}, {k ^ 1}, {len(d)}, '{d.hex().upper()}')" for stream, k, d in frames)
+    return f"select {', '.join(columns)} from (values {rows}) as t(stream, decode_index, pts, wire_size, bytes)"
+
+
+@query(_made("stream", "decode_index::bigint as decode_index", "pts::bigint as pts", "wire_size::bigint as wire_size", "bytes"))
 def bin_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Frames of a made BIN file."""
-    from lamina.plans import fixtures
+    """Frames of made BIN files, written by the BIN sink and read again."""
     from lamina.sources import readers
 
-    return readers.bin_frames(fixtures.files(spark)).select("stream_id", "decode_index", "pts", "wire_size", "data")
+    stream = F.regexp_extract("stream_id", r"([^/]+)-[0-9a-f]{8}\.bin$", 1).alias("stream")
+    return readers.bin_frames(_written(spark, "BIN")).select(stream, "decode_index", "pts", "wire_size", F.hex("data").alias("bytes"))
 
 
 @query()
 def block_decode_fixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The decoded blocks of a made stream."""
-    from lamina.plans import analyze, fixtures
+    from lamina.plans import analyze
     from lamina.sources import readers
 
     return analyze.decode_blocks(readers.bin_frames(fixtures.files(spark)).withColumn("frame_index", F.col("decode_index")))
 
 
-@query()
+@query(_made("stream", "decode_index::bigint as decode_index", "bytes"))
 def extract_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The bytes that the raw sink writes for a made stream, a row a frame."""
-    from lamina.plans import fixtures
+    """What the raw sink wrote of made streams, a row a frame."""
     from lamina.sources import readers
 
-    return readers.bin_frames(fixtures.files(spark)).select("stream_id", "decode_index", F.hex("data").alias("bytes"))
+    stream = F.regexp_extract("stream_id", r"([^/]+)-[0-9a-f]{8}\.lvc$", 1).alias("stream")
+    return readers.raw_frames(_written(spark, "RAW")).select(stream, "decode_index", F.hex("data").alias("bytes"))
 
 
 @query()
@@ -474,7 +499,8 @@ def streaming_reorder(spark: SparkSession, sf_dir: str) -> DataFrame:
     def frames(o: DataFrame) -> DataFrame:
         return o.select(F.col("o_custkey").cast("string").alias("stream_id"), F.col("o_orderkey").alias("decode_index"), micros("o_orderdate").alias("pts"))
 
-    return reorder.run_files(spark, f"{sf_dir}/orders.parquet", table(spark, sf_dir, "orders").schema, depth=16, frames=frames)
+    # A stream reads a folder or a pattern; this one stands for a file as well as for a folder of that name.
+    return reorder.run_files(spark, f"{sf_dir}/orders.parque[t]", table(spark, sf_dir, "orders").schema, depth=16, frames=frames)
 
 
 def queries() -> dict[str, Query]:

@@ -79,5 +79,9 @@ def bin_file(n: int = 12) -> bytes:
     return containers.bin_header() + b"".join(containers.bin_block(k, k ^ 1, frame(k)) for k in range(n))
 
 
+#: Made streams and their frames.
+MADE = {"made-a": 12, "made-b": 7}
+
+
 def files(spark: SparkSession) -> DataFrame:
-    return readers.from_bytes(spark, {"made-a.bin": bin_file(12), "made-b.bin": bin_file(7)})
+    return readers.from_bytes(spark, {f"{name}.bin": bin_file(n) for name, n in MADE.items()})
