@@ -74,8 +74,10 @@ def _pes(data: bytes) -> tuple[int | None, int | None, bytes]:
 
 
 def ts_packets(data: bytes) -> Iterator[tuple[int, str, int | None, int | None, int, bytes]]:
-    """PID, codec, PTS, DTS, file position and data of each packet of the video streams."""
+    """PID, codec, PTS, DTS, file position and data of each packet of the video streams. Where the sync byte is lost, it
+    goes on at the next place from which two packets in a row have one; packets that were open there are dropped."""
     maps: set[int] = set()
+    sections: dict[int, bytes] = {}
     codecs: dict[int, str] = {}
     parts: dict[int, list[bytes]] = defaultdict(list)
     began: dict[int, int] = {}
@@ -86,26 +88,47 @@ def ts_packets(data: bytes) -> Iterator[tuple[int, str, int | None, int | None,
             pts, dts, body = _pes(whole)
             yield pid, codecs[pid], pts, dts, began[pid], body
 
-    for at in range(0, len(data) - TS_PACKET + 1, TS_PACKET):
+    def table(pid: int, section: bytes) -> None:
+        """The PIDs of maps, or the codecs of a map's streams, of a whole section without its checksum."""
+        if pid == 0:
+            maps.update((section[k + 2] & 0x1F) << 8 | section[k + 3] for k in range(8, len(section) - 3, 4) if section[k : k + 2] != b"\0\0")
+            return
+        k = 12 + ((section[10] & 0x0F) << 8 | section[11])
+        while k + 5 <= len(section):
+            if section[k] in TS_CODECS:
+                codecs[(section[k + 1] & 0x1F) << 8 | section[k + 2]] = TS_CODECS[section[k]]
+            k += 5 + ((section[k + 3] & 0x0F) << 8 | section[k + 4])
+
+    def add(pid: int, part: bytes) -> None:
+        """Puts a section together, which can reach over packets."""
+        whole = sections.pop(pid, b"") + part
+        size = 3 + ((whole[1] & 0x0F) << 8 | whole[2]) if len(whole) > 2 else None
+        if size is None or len(whole) < size:
+            sections[pid] = whole
+        elif size > 12:
+            table(pid, whole[: size - 4])
+
+    at = -TS_PACKET
+    while (at := at + TS_PACKET) + TS_PACKET <= len(data):
+        if data[at] != 0x47:
+            last = len(data) - TS_PACKET
+            at = next((k for k in range(at + 1, last + 1) if data[k] == 0x47 and (k == last or k + TS_PACKET > last or data[k + TS_PACKET] == 0x47)), len(data))
+            parts.clear()  # what was open holds the damage
+            if at == len(data):
+                break
         p = data[at : at + TS_PACKET]
-        if p[0] != 0x47:
-            raise StreamError(f"no sync byte at {at}")
         pid, starts, control = (p[1] & 0x1F) << 8 | p[2], p[1] & 0x40, p[3] >> 4 & 3
         body = p[4:] if control == 1 else p[5 + p[4] :] if control == 3 else b""
         if not body:
             continue
         if pid == 0 or pid in maps:
             if starts:
-                section = body[1 + body[0] :]
-                section = section[: 3 + ((section[1] & 0x0F) << 8 | section[2]) - 4]
-                if pid == 0:
-                    maps |= {(section[k + 2] & 0x1F) << 8 | section[k + 3] for k in range(8, len(section) - 3, 4) if section[k : k + 2] != b"\0\0"}
-                else:
-                    k = 12 + ((section[10] & 0x0F) << 8 | section[11])
-                    while k + 5 <= len(section):
-                        if section[k] in TS_CODECS:
-                            codecs[(section[k + 1] & 0x1F) << 8 | section[k + 2]] = TS_CODECS[section[k]]
-                        k += 5 + ((section[k + 3] & 0x0F) << 8 | section[k + 4])
+                if pid in sections:
+                    add(pid, body[1 : 1 + body[0]])
+                sections.pop(pid, None)
+                add(pid, body[1 + body[0] :])
+            elif pid in sections:
+                add(pid, body)
         elif pid in codecs:
             if starts:
                 yield from flush(pid)
@@ -137,6 +160,15 @@ def find_box(data: bytes, path: list[bytes], at: int = 0, end: int | None = None
     return None
 
 
+def sample_boxes(data: bytes, wanted: bytes) -> Iterator[tuple[int, int]]:
+    """Start and end of the boxes of a kind inside the video sample entries of all tracks."""
+    moov = find_box(data, [b"moov"])
+    for kind, lo, hi in boxes(data, *moov) if moov else ():
+        entries = find_box(data, [b"mdia", b"minf", b"stbl", b"stsd"], lo, hi) if kind == b"trak" else None
+        for _, start, end in boxes(data, entries[0] + 8, entries[1]) if entries else ():
+            yield from ((x, y) for k, x, y in boxes(data, start + 78, end) if k == wanted)
+
+
 def _table(data: bytes, at: int, widths: tuple[int, ...]) -> list[tuple[int, ...]]:
     r = Reader(data[at + 4 :])
     return [tuple(r.uint(w) for w in widths) for _ in range(r.uint(4))]

@@ -307,11 +307,8 @@ def enh_config(df: DataFrame) -> DataFrame:
     """The enhancement decoder configuration of MP4 files as JSON; NALs in hex."""
 
     def rows(content: bytes) -> Iterator[tuple]:
-        at = content.find(b"lvcC")
-        if at >= 4:
-            size = int.from_bytes(content[at - 4 : at], "big")
-            found = containers.enh_config(content[at + 4 : at - 4 + size])
-            yield (json.dumps(found, default=bytes.hex),)
+        for lo, hi in containers.sample_boxes(content, b"lvcC"):
+            yield (json.dumps(containers.enh_config(content[lo:hi]), default=bytes.hex),)
 
     return _each(df, rows, "stream_id string, config string", "content")
 

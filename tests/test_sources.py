@@ -136,6 +136,24 @@ def test_ts(spark):
     assert readers.separate_frames(own, False).count() == 4
 
 
+def test_ts_with_losses(spark):
+    """A map that reaches over two packets, and bytes lost in the middle of the file."""
+    units = [(9000 * k, 9000 * k, BASE["H264"][1] + bytes([k + 1]) * 20) for k in range(6)]
+    whole = ts_file(units)
+    stream = b"".join(bytes([0x06]) + (0xE000 | 300 + k).to_bytes(2, "big") + H("F000") for k in range(40)) + bytes([0x1B]) + (0xE000 | 256).to_bytes(2, "big") + H("F000")
+    body = (0xE000 | 256).to_bytes(2, "big") + H("F000") + stream
+    section = b"\0" + bytes([2]) + (0xB000 | len(body) + 9).to_bytes(2, "big") + H("0001C10000") + body + bytes(4)
+    maps = b""
+    for k in range(0, len(section), 184):
+        maps += bytes([0x47, (0x40 if k == 0 else 0) | 0x10, 0, 0x10 | k // 184]) + section[k : k + 184].ljust(184, b"\xff")
+    assert len(maps) == 376
+    long = whole[:188] + maps + whole[376:]
+    assert [p[-1] for p in containers.ts_packets(long)] == [u[2] for u in units]
+    lost = long[: 188 * 5 + 40] + long[188 * 5 + 43 :]
+    got = [p[2] for p in containers.ts_packets(lost)]
+    assert set(got) >= {0, 9000, 36000, 45000} and len(got) >= 4
+
+
 def test_raw_and_commands(spark, tmp_path):
     nals = [fixtures.frame(k) for k in range(6)]
     (tmp_path / "in").mkdir()
