@@ -30,12 +30,6 @@ def true_pts(enh: DataFrame, base: DataFrame, on: list[str]) -> DataFrame:
     return enh.join(b, on).withColumn("differs", F.col("pts") != F.col("base_pts"))
 
 
-def with_duplicate_flag(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """n_same and is_duplicate: more than one row has the keys."""
-    n = F.count("*").over(Window.partitionBy(*keys))
-    return rows.withColumn("n_same", n).withColumn("is_duplicate", F.col("n_same") > 1)
-
-
 def duplicates(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Keys that occur more than once, with their count."""
     return rows.groupBy(*keys).agg(F.count("*").alias("n")).filter("n > 1")

@@ -240,10 +240,20 @@ def analyze_frames(enh: DataFrame, packets: DataFrame | None = None, verbose: bo
     return out | ({"packets": packets} if packets is not None else {})
 
 
-def extract(spark: SparkSession, path: str, output: str, fmt: str = "BIN", **source) -> DataFrame:
-    """Writes the enhancement frames of each stream to a file, in decode order."""
+def config_mismatches(files: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Profile and level of sequence blocks that differ from what MP4 files declare, once for each stream and pair."""
+    declared = readers.enh_config(files)
+    named = lambda names, key: enums.name_of(names, F.get_json_object("config", f"$.{key}").cast("int")).alias(key)
+    coded = blocks.filter("type = 'SEQUENCE_CONFIG'").select("stream_id", *[F.get_json_object("fields", f"$.{key}_idc").alias(key) for key in ("profile", "level")])
+    return pairing.check_config(coded.distinct(), declared.select("stream_id", named(enums.PROFILE, "profile"), named(enums.LEVEL, "level")))
+
+
+def extract(spark: SparkSession, path: str, output: str, fmt: str | None = None, **source) -> DataFrame:
+    """Writes the enhancement frames of each stream to a file in a folder, in decode order. Without a format the folder's
+    suffix tells it (out.bin, out.lvc), else it is BIN."""
     _, enh = open_path(spark, path, **source)
-    return sinks.write_frames(enh, output, fmt)
+    suffix = "." + output.rstrip("/").rsplit("/", 1)[-1].rpartition(".")[2].lower()
+    return sinks.write_frames(enh, output, fmt or sinks.SUFFIX_FORMATS.get(suffix, "BIN"))
 
 
 def simulate_buffer(spark: SparkSession, path: str, model: str | DataFrame, sample_interval: float = 0.005, time_base: float | None = None, fps: float | None = None, **source) -> dict[str, DataFrame]:

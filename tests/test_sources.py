@@ -5,7 +5,7 @@ import os
 import random
 
 import pytest
-from lamina.functions import bits
+from lamina.functions import bits, columns
 from lamina.operators import buffering, framing, pairing, sizes
 from lamina.plans import analyze, fixtures
 from lamina.sources import containers, readers, sinks
@@ -136,6 +136,24 @@ def test_ts(spark):
     assert readers.separate_frames(own, False).count() == 4
 
 
+def test_config_mismatches(spark):
+    enh = [fixtures.nal(fixtures.SEQUENCE + fixtures.GLOBAL + fixtures.PICTURE + fixtures.encoded({1: b"\xaa"}, 32))[4:]]
+    df = readers.from_bytes(spark, {"a.mp4": mp4_file([u32(3) + H("6588AA") + u32(len(e)) + e for e in enh])})
+    packets, frames = readers.open_frames(df, "MP4")
+    blocks = analyze.analyze_frames(frames, packets)["blocks"]
+    row = analyze.config_mismatches(df, blocks).first()  # the box says profile 1, level 4
+    assert (row["container_profile"], row["container_level"]) == ("MAIN_444", "LEVEL_4") and row["profile"] == "MAIN"
+
+
+def test_small_columns(spark):
+    df = spark.createDataFrame([("YUV", "TRANSFORM_4X4", 9), ("Y", "TRANSFORM_2X2", 20)], "p string, t string, d int")
+    got = df.select(columns.plane_count(F.col("p")), columns.group_count(F.col("t")), columns.tu_size(F.col("t"))).collect()
+    assert [tuple(r) for r in got] == [(3, 16, 4), (1, 4, 2)]
+    assert df.agg(sizes.reorder_depth(F.col("d"))).first()[0] == 20 and df.filter("d < 10").agg(sizes.reorder_depth(F.col("d"))).first()[0] == 16
+    big = (1 << 60) + 1
+    assert spark.range(1).select(columns.ceil_div(F.lit(big), F.lit(2))).first()[0] == (big + 1) // 2
+
+
 def test_ts_with_losses(spark):
     """A map that reaches over two packets, and bytes lost in the middle of the file."""
     units = [(9000 * k, 9000 * k, BASE["H264"][1] + bytes([k + 1]) * 20) for k in range(6)]
