@@ -7,15 +7,15 @@ import os
 import tempfile
 import uuid
 from collections.abc import Callable
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lamina.workers import attach  # noqa: F401 - the operators have it from here
+
 #: White space of the word rule, for use inside a character class of a Java pattern.
 SPACE = r"\x20\x09-\x0D"
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-ROOT = str(Path(__file__).resolve().parents[2])
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,15 +43,6 @@ def column(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
-def attach(spark: SparkSession) -> None:
-    """Lets Python workers import this package from where the driver has it. On a cluster whose nodes lack that path,
-    ship the package with --py-files."""
-    env = spark.sparkContext.environment
-    paths = env.get("PYTHONPATH", os.environ.get("PYTHONPATH", "")).split(os.pathsep)
-    if ROOT not in paths:
-        env["PYTHONPATH"] = os.pathsep.join([ROOT, *filter(None, paths)])
-
-
 _kept: dict[tuple, object] = {}
 
 

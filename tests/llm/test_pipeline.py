@@ -70,3 +70,22 @@ def test_run(spark):
     rows = corpus_pipeline.run(spark, SF).collect()
     assert rows and {"doc_id", "sequence_id", "offset"} <= set(rows[0].asDict())
     assert len({r["doc_id"] for r in rows}) < 200 and re.fullmatch(r"\w+", corpus_pipeline.STAGES[0][0])
+
+
+def test_stages_with_odd_rows_and_columns(spark):
+    """Every stage on nulls, repeated rows and ids, columns whose names clash or have dots, and on an empty table."""
+    good = "A clean line of words that ends well and says a thing.\nAnother clean line of other words follows here."
+    rows = [(1, good, "x", 1, 2), (1, good, "x", 1, 2), (2, good, "y", 1, 2), (2, "An other text of the same id which has enough words of its own.", "y", 1, 2), (None, good, "z", 1, 2), (3, None, None, None, None), (4, "", "", 0, 0), (5, good.replace("thing", "user=alice password: hunter22 thing"), "x", 1, 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, `a.b` string, quality int, rows int")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns, name
+        found = out.collect()
+        if name == "near_duplicates":
+            kept = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["text"] or "") for r in found)
+            assert [k[1] for k in kept if not k[0]].count(1) == 1 and any(k[0] for k in kept)
+            assert {r["a.b"] for r in found if r["doc_id"] == 2} <= {"y"}
+        if name == "secret_scan":
+            assert len(found) == len(rows) and any("[SECRET]" in (r["text"] or "") for r in found)
+        assert stage(spark, docs.limit(0), SF).count() == 0, name
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() == len(rows)
