@@ -316,7 +316,7 @@ def sei(r: Reader) -> dict:
         else:
             r.take(len(r))  # registered data of others fills the rest of the block
     else:
-        out["sei_error"] = "Invalid SEI Payload Type"
+        out["sei_error"] = "the SEI payload type is not known"
     return out
 
 

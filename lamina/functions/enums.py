@@ -34,6 +34,7 @@ BASE_TYPE = {-2: "INVALID", -1: "UNKNOWN", 1: "H264", 2: "HEVC", 3: "VVC", 4: "V
 FRAME_TYPE = {"Unknown": " ? ", "I": "I", "P": "P", "B": "B", "KeyFrame": "KEY", "InterFrame": "INT"}
 ENH_FRAME_TYPE = {28: "NON", 29: "IDR"}
 NAL_ENH = {25: "DATA", 27: "CONF"}
+# Names of NAL types.
 NAL_H264 = dict(enumerate("SLICE SLICE_DPA SLICE_DPB SLICE_DPC IDR_SLICE SEI SPS PPS AUD E_O_SEQ E_O_STRM FILLER SPS_EXT PFX_NAL SUB_SPS".split(), 1)) | {19: "AUX_SLICE", 20: "EXTN_SLICE"}
 NAL_HEVC = (
     dict(enumerate("TRAIL_N TRAIL_R TSA_N TSA_R STSA_N STSA_R RADL_N RADL_R RASL_N RASL_R".split()))
@@ -48,7 +49,7 @@ NAL_VVC = (
 #: Types without a name that are left to applications; all other nameless ones are reserved.
 UNSPECIFIED = {"H264": {16, 17, 18, 21, 22, 23}, "HEVC": set(range(48, 64)), "VVC": set(range(28, 32))}
 NAL_NAMES = {"H264": NAL_H264, "HEVC": NAL_HEVC, "VVC": NAL_VVC}
-#: Width and height by resolution index, from 1; 63 is a size of its own.
+#: Width and height by resolution index, from 1; 63 is a size of its own.
 RESOLUTIONS = (
     (360, 200), (400, 240), (480, 320), (640, 360), (640, 480), (768, 480), (800, 600), (852, 480), (854, 480), (856, 480),
     (960, 540), (960, 640), (1024, 576), (1024, 600), (1024, 768), (1152, 864), (1280, 720), (1280, 800), (1280, 1024), (1360, 768),
@@ -57,13 +58,13 @@ RESOLUTIONS = (
     (3840, 2400), (4096, 2160), (4096, 3072), (5120, 2880), (5120, 3200), (5120, 4096), (6400, 4096), (6400, 4800), (7680, 4320), (7680, 4800),
 )
 CUSTOM_RESOLUTION = 63
-#: Suffix to input type and base type.
+#: Suffix to input type and base type.
 SUFFIXES = {
     ".ts": ("TS", "INVALID"), ".es": ("ES", "INVALID"), ".264": ("ES", "H264"), ".h264": ("ES", "H264"), ".avc": ("ES", "H264"),
     ".265": ("ES", "HEVC"), ".h265": ("ES", "HEVC"), ".hevc": ("ES", "HEVC"), ".266": ("ES", "VVC"), ".h266": ("ES", "VVC"), ".vvc": ("ES", "VVC"),
     ".webm": ("WEBM", "UNKNOWN"), ".mp4": ("MP4", "UNKNOWN"), ".bin": ("BIN", "UNKNOWN"), ".lvc": ("LCEVC", "UNKNOWN"), ".lcevc": ("LCEVC", "UNKNOWN"),
 }
-#: Header of registered user data that carries an enhancement payload.
+#: Fixed value: header of registered user data that carries an enhancement payload.
 T35_HEADER = bytes.fromhex("b4005000")
 
 

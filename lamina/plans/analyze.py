@@ -187,6 +187,7 @@ def summary_text(summary: DataFrame) -> DataFrame:
     size = lambda c: said("%.0f kb", known(c, F.col(c) / 1000.0))
     bitrate = lambda c, also=F.lit(True): F.when(also & F.col(c).isNotNull(), F.format_string("%.0f kbps", F.col(c) / 1000.0)).otherwise("N/A")
     when_base = lambda x: F.when(has_base, x).otherwise("N/A")
+    # Names of the lines, their order and units.
     lines = {
         "base_frame_count": when_base(F.col("base_count").cast("string")),
         "base_layer_framerate": F.when(F.col("framerate").isNotNull(), F.format_string("%.5f fps", "framerate")).otherwise("N/A"),
