@@ -290,3 +290,20 @@ def test_parts_add_up(spark):
     learnt = spark.createDataFrame(rows, "shard long, part int, numbers binary")
     assert (mixing.summed(learnt, 70, size) == total).all()
     assert (mixing.summed(learnt.limit(0), 1, size) == 0).all()
+
+
+def test_contexts_predict_all_bits_of_a_code():
+    """Of 4096 words, whose codes have 12 bits each, every one is always followed by the same other one."""
+    size = 4096
+    code = lm.Code(dict.fromkeys(range(size), 1))
+    after = np.random.default_rng(8).permutation(size)
+    text = np.stack([np.arange(size), after], axis=1)[np.random.default_rng(9).permutation(size)]
+    none = np.full(2, lm.NONE, "<u2").tobytes()
+    pairs = lm.WordBits(code, [x.astype("<u2").tobytes() for x in text], [none] * size)
+    m = lm.WordMixers()
+    for _ in range(8):
+        m.learn(pairs)
+    m = lm.WordMixers().merged(m.learnt())
+    assert m.log10(pairs)[1::2].mean() > -0.2  # -1.2 where only eight of the bits have contexts
+    wrong = lm.WordBits(code, [x.astype("<u2").tobytes() for x in np.column_stack([text[:, 0], np.roll(text[:, 1], 1)])], [none] * size)
+    assert m.log10(wrong)[1::2].mean() < -4
