@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, IntegerType, LongType, StructField, StructType
 
-from lamina.llm.common import Scratch, attach, column, fresh, kept
+from lamina.llm.common import Scratch, attach, column, fresh, kept, lean
 from lamina.llm.jaccard import mixed
 
 WINDOW = 8
@@ -385,9 +385,9 @@ class Benchmark:
     def __init__(self, benchmark: DataFrame, id_col: str, text_col: str, scratch: Scratch):
         attach(benchmark.sparkSession)
         self.items = scratch.save(benchmark.select(F.monotonically_increasing_id().alias("item"), column(id_col).alias("item_id"), column(text_col).alias("text")))
-        self.entries = scratch.save(self.items.select("item", "text").mapInArrow(_entries, "hash long, item long, at int, tells int, width int"))
+        self.entries = scratch.save(self.items.select("item", "text").mapInArrow(lean(_entries), "hash long, item long, at int, tells int, width int"))
         self.widths = Widths.of({(r["tells"], r["width"]) for r in self.entries.select("tells", "width").distinct().collect()})  # a few kinds
-        found = self.entries.select("hash").mapInArrow(_words_of_filter, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+        found = self.entries.select("hash").mapInArrow(lean(_words_of_filter), "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
         self.bits = np.zeros(FILTER_BITS // 64, np.int64)
         self.bits[found["word"].to_numpy()] = found["bits"].to_numpy()
 
@@ -417,7 +417,7 @@ class Benchmark:
                     yield pa.RecordBatch.from_arrays([*none, pa.array(at), pa.nulls(len(at), pa.bool_()), pa.array(starts.astype(np.int32)), pa.array(h)], names=[*b.schema.names, *names])
 
         fields = [StructField(f.name, f.dataType) for f in docs.schema] + [StructField(n, t) for n, t in zip(names, (LongType(), BooleanType(), IntegerType(), LongType()), strict=True)]
-        return docs.mapInArrow(run, StructType(fields)), names
+        return docs.mapInArrow(lean(run), StructType(fields)), names
 
     def found(self, searched: DataFrame, text_col: str, names: list[str]) -> DataFrame:
         """uid, item and the numbers of judged() of each document and item that match. Windows are hash-joined with the
@@ -427,7 +427,7 @@ class Benchmark:
         pairs = hits.join(self.entries, "hash").groupBy("uid", "item").agg(F.collect_list(F.struct("start", "at", "tells")).alias("hits"))
         texts = searched.filter(passes).select(uid.alias("uid"), column(text_col).alias("doc_text"))
         pairs = pairs.join(texts, "uid").join(self.items.select("item", "text"), "item").select("uid", "item", "hits", "doc_text", "text")
-        return pairs.mapInArrow(_judge, "uid long, item long, n_covered long, n_item_tokens long, n_slots long, n_changed long")
+        return pairs.mapInArrow(lean(_judge), "uid long, item long, n_covered long, n_item_tokens long, n_slots long, n_changed long")
 
 
 def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

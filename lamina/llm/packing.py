@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lamina.llm.common import Scratch, attach, kept
+from lamina.llm.common import Scratch, attach, freed, kept, lean
 
 CAPACITY = 2048
 CELL = 4096
@@ -193,7 +193,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_col: st
 
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = source.schema["id"].dataType.simpleString()
-    return source.mapInArrow(cut, f"id {kind}, piece int, start long, length long, ids_crc32 long")
+    return source.mapInArrow(lean(cut), f"id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
 def best_fit(order: np.ndarray, sizes: list[int], rooms: list[int], capacity: int) -> list[int]:
@@ -349,7 +349,7 @@ def _evolved(hard: DataFrame, n_hard: int, capacity: int, seed: int, scratch: Sc
     fields = "cell long, island int, sizes binary, members array<binary>, n_bins long, least long"
     bins, idle = None, 0
     for epoch in range(EPOCHS):
-        now = scratch.save(state.repartition(spread(scratch.spark, n_hard * ISLANDS), "cell", "island").mapInArrow(partial(_evolve, capacity=capacity, seed=seed + epoch), fields))
+        now = scratch.save(state.repartition(spread(scratch.spark, n_hard * ISLANDS), "cell", "island").mapInArrow(lean(partial(_evolve, capacity=capacity, seed=seed + epoch)), fields))
         reached = now.groupBy("cell").agg(F.min("n_bins").alias("n"), F.min("least").alias("least")).agg(F.sum("n"), F.sum("least")).first()
         idle = idle + 1 if reached[0] == bins else 0
         bins = reached[0]
@@ -377,13 +377,13 @@ def spread(spark: SparkSession, n: int) -> int:
 def _pack_cells(rows: DataFrame, n_cells: int, capacity: int, seed: int, scratch: Scratch, passed_on: int = 0) -> DataFrame:
     """Adds bin and fill to rows of cell, uid and length. passed_on: bins above the bound that need no evolution, since
     their pieces go on to another round."""
-    start = lambda key, cell: _start(key, cell, capacity)
+    start = lambda key, cell: freed(_start(key, cell, capacity))
     cells = scratch.save(rows.repartition(spread(scratch.spark, n_cells), "cell").groupBy("cell").applyInArrow(start, "cell long, uids binary, sizes binary, packing binary, n_bins long, least long"))
     hard = cells.filter(F.col("n_bins") > F.col("least") + passed_on)
     if n_hard := hard.count():
         better = _evolved(hard, n_hard, capacity, seed, scratch).withColumnRenamed("packing", "better")
         cells = cells.join(better, "cell", "left").withColumn("packing", F.coalesce("better", "packing"))
-    return cells.select("cell", "uids", "sizes", "packing").mapInArrow(partial(_rows_of_cells, capacity=capacity), "cell long, uid long, length long, bin long, fill long")
+    return cells.select("cell", "uids", "sizes", "packing").mapInArrow(lean(partial(_rows_of_cells, capacity=capacity)), "cell long, uid long, length long, bin long, fill long")
 
 
 def _dealt(rows: DataFrame, seed: int) -> tuple[DataFrame, int]:

@@ -89,3 +89,26 @@ def test_stages_with_odd_rows_and_columns(spark):
             assert len(found) == len(rows) and any("[SECRET]" in (r["text"] or "") for r in found)
         assert stage(spark, docs.limit(0), SF).count() == 0, name
     assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() == len(rows)
+
+
+def test_a_lean_task_gives_its_memory_back():
+    import subprocess
+    import sys
+
+    script = """
+import os, sys
+sys.path.insert(0, sys.argv[1])
+from lamina.llm import common
+resident = lambda: int(open("/proc/self/statm").read().split()[1]) * os.sysconf("SC_PAGE_SIZE") >> 20
+last = []
+def run(batches):
+    blocks = [bytearray(b"x" * 100_000) for _ in range(2000)]
+    last.append(bytearray(100_000))  # stands above them, so that they are not the end of the heap
+    yield from batches
+before = resident()
+assert list((common.lean(run) if sys.argv[2] == "lean" else run)(iter([1, 2]))) == [1, 2]
+print(resident() - before)
+"""
+    root = str(__import__("pathlib").Path(__file__).resolve().parents[2])
+    grown = [int(subprocess.run([sys.executable, "-c", script, root, how], capture_output=True, text=True, check=True).stdout) for how in ("plain", "lean")]
+    assert grown[1] < 40 < grown[0]
