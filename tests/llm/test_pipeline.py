@@ -112,3 +112,20 @@ print(resident() - before)
     root = str(__import__("pathlib").Path(__file__).resolve().parents[2])
     grown = [int(subprocess.run([sys.executable, "-c", script, root, how], capture_output=True, text=True, check=True).stdout) for how in ("plain", "lean")]
     assert grown[1] < 40 < grown[0]
+
+
+def test_batches_are_bounded_by_bytes(spark):
+    import pyarrow as pa
+    from lamina.llm.common import Scratch
+    from pyspark.sql import functions as F
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"rows": [b.num_rows], "bytes": [b.nbytes]})
+
+    rows = spark.range(0, 3000, 1, 1).select(F.repeat(F.lit("x"), 10_000).alias("text"))
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    found = Scratch(spark).save(rows.mapInArrow(sizes, "rows long, bytes long")).collect()
+    assert sum(r["rows"] for r in found) == 3000 and max(r["bytes"] for r in found) < 5 << 20
+    assert spark.conf.get(key) == before
