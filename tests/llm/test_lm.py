@@ -292,6 +292,18 @@ def test_parts_add_up(spark):
     assert (mixing.summed(learnt.limit(0), 1, size) == 0).all()
 
 
+def test_parts_are_narrow():
+    rng = np.random.default_rng(1)
+    counts, sums = rng.integers(0, 100, 3 * mixing.PART + 7, dtype=np.uint32), rng.integers(-(1 << 40), 1 << 40, 50)
+    at, found = mixing.parts([counts, sums])
+    whole = np.concatenate([counts, sums], dtype=np.int64)
+    assert at == [0, 1, 2, 3] and (np.concatenate([mixing.wide(x) for x in found]) == whole).all()
+    assert [len(x) for x in found] == [mixing.PART + 1] * 3 + [57 * 8 + 1]
+    for n in (127, 128, -128, -129, 1 << 15, -(1 << 15), 1 << 31, -(1 << 63), (1 << 63) - 1):
+        assert mixing.wide(mixing.narrow(np.array([0, n]))).tolist() == [0, n]
+    assert mixing.parts(np.zeros(mixing.PART + 1, np.int64)) == ([], [])
+
+
 def test_contexts_predict_all_bits_of_a_code():
     """Of 4096 words, whose codes have 12 bits each, every one is always followed by the same other one."""
     size = 4096
